@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stemma.llm import relevance as rel, survivors as sur, terms, tokenizer
+from stemma.llm import leaks, relevance as rel, sentences, survivors as sur, terms, tokenizer, truncation
 from stemma.session import table
 
 PAPER_TEXT = ("title", "snippet")
@@ -49,7 +49,28 @@ def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.decode_corpus(p6_ids(spark, root), tokenizer.pieces(spark))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p4_found, p4_scores, p5_found, p5_values, p6_ids, p6_decoded)}
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncated(table(spark, root, "papers")).filter("cut").select(F.col("id").alias("seq"), "field")
+
+
+def p3_rates(spark: SparkSession, root: str) -> DataFrame:
+    papers = table(spark, root, "papers")
+    return truncation.truncation_rates(truncation.truncated(papers), papers)
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_places(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentences(table(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_rates, p4_found, p4_scores, p5_found, p5_values, p6_ids, p6_decoded, p7_found, p7_places, p8_found)}
 
 _TERMS = r"""
 rows AS (SELECT seq, lower(nfc_normalize(coalesce(title, '') || ' ' || coalesce(snippet, ''))) AS txt FROM papers),
