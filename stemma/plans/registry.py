@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stemma.plans import general
+from stemma.plans import general, reference
 
-FLAGSHIP = "p2_found"
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+FLAGSHIP = "mine_words"
+QUERIES = {**reference.QUERIES, **general.QUERIES}
+SQL = {**reference.SQL, **general.SQL}
