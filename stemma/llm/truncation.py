@@ -36,20 +36,20 @@ FUNCTION_WORDS = {
     "de": frozenset("der die das und für ein eine wird mit von zur den im auf".split()),
     "es": frozenset("el los las del una y para con en que por como sigue siendo".split()),
 }
-WORDS = regex.compile(r"\p{Latin}+")
+SCRIPTS = (("zh", regex.compile(r"\p{Han}"), 3), ("ru", regex.compile(r"\p{Cyrillic}"), 1), ("xx", regex.compile(r"[\p{Arabic}\p{Thai}\p{Hangul}\p{Devanagari}\p{Greek}\p{Hiragana}\p{Katakana}]"), 1))
+SAMPLE = 400
 
 
 def language(text: str) -> str:
-    """The language as far as the model needs it: by script, and by function words for Latin script."""
-    if not text.isascii():
-        scripts = {"zh": len(regex.findall(r"\p{Han}", text)) * 3, "ru": len(regex.findall(r"\p{Cyrillic}", text)), "xx": len(regex.findall(r"[\p{Arabic}\p{Thai}\p{Hangul}\p{Devanagari}\p{Greek}\p{Hiragana}\p{Katakana}]", text))}
-        best = max(scripts, key=scripts.get)
-        if scripts[best] * 3 > len(text):
-            return best
-    found = [w.lower() for w in WORDS.findall(text[:400])]
-    score = {k: sum(w in v for w in found) for k, v in FUNCTION_WORDS.items()}
-    best = max(score, key=score.get)
-    return best if score[best] else "en"
+    """The language of a lower-case text as far as the model needs it: by script, and by function words for Latin script."""
+    head = text[:SAMPLE]
+    if not head.isascii():
+        for name, script, weight in SCRIPTS:
+            if len(script.findall(head)) * weight * 3 > len(head):
+                return name
+    found = set(head.split())
+    best = max(FUNCTION_WORDS, key=lambda k: len(found & FUNCTION_WORDS[k]))
+    return best if found & FUNCTION_WORDS[best] else "en"
 
 
 def prepare(text: str | None) -> tuple[str, bool] | None:
@@ -58,43 +58,54 @@ def prepare(text: str | None) -> tuple[str, bool] | None:
     Not judged: null and blank values, values shortened by the index (a blank and an ellipsis), labelled lists.
     """
     t = text.rstrip() if text else ""
-    if not t or SHORTENED.search(t) or LABELLED_LIST.match(t):
+    end = t[-24:]
+    if not t or (end[-1] in "…." and SHORTENED.search(end)) or (":" in t[:24] or "：" in t[:24]) and LABELLED_LIST.match(t):
         return None
-    t = DOTS.sub("", t)
-    stem = DANGLING.sub("", t).rstrip()
-    dangling = len(stem) > 3 and stem != t
-    t = stem if dangling else t
-    return (DIGITS.sub("0", t).casefold(), dangling) if t else None
+    if end[-1] in "….":
+        t = DOTS.sub("", t)
+        end = t[-24:]
+    stem = t[: len(t) - len(end)] + DANGLING.sub("", end)
+    if len(stem) != len(t) and len(stem := stem.rstrip()) > 3:
+        return DIGITS.sub("0", stem).casefold(), True
+    return (DIGITS.sub("0", t).casefold(), False) if t else None
 
 
 @lru_cache(maxsize=None)
-def _salt(stratum: str, order: int) -> np.uint64:
+def _salt(stratum: str) -> np.uint64:
     import xxhash
 
-    return np.uint64(xxhash.xxh64_intdigest(f"{stratum}/{order}"))
+    return np.uint64(xxhash.xxh64_intdigest(stratum))
 
 
-def contexts(texts: list[str], strata: list[str], ends_only: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(order, bucket, owner, is_end) of every context of each order, or only of those that end a text."""
-    texts = ["\x02" + t[-max(ORDERS) :] if ends_only else "\x02" + t for t in texts]
+def contexts(texts: list[str], strata: list[str], ends_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, owner) for each order: of the contexts that end a text, or of all those after which it goes on."""
+    longest = max(ORDERS)
+    texts = ["\x02" + t[-longest:] if ends_only else "\x02" + t for t in texts]
     lengths = np.array([len(t) for t in texts])
     x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths) - 1
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(x)) - (ends - lengths + 1)[owner]
-    is_end = np.zeros(len(x), dtype=bool)
-    is_end[ends] = True
     names, which = np.unique(np.array(strata), return_inverse=True)
-    h = np.zeros_like(x)
-    with np.errstate(over="ignore"):
-        for k in range(1, max(ORDERS) + 1):
-            h = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + x if k > 1 else x.copy()
-            if k in ORDERS:
-                take = np.flatnonzero((place >= max(1, k - 1)) & (is_end if ends_only else True))
-                salt = np.array([_salt(n, k) for n in names], dtype=np.uint64)[which[owner[take]]]
-                mixed = (h[take] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                yield k, (mixed >> np.uint64(64 - BITS)).astype(np.int64), owner[take], is_end[take]
+    x += np.repeat(np.array([_salt(n) for n in names], dtype=np.uint64)[which], lengths)  # the same letters differ by stratum
+    if not ends_only:
+        place = np.arange(len(x), dtype=np.int32) - np.repeat((ends - lengths + 1).astype(np.int32), lengths)
+        place[ends] = -1
+    h, last = x.copy(), np.empty_like(x)
+    for k in range(1, longest + 1):
+        if k > 1:
+            h, last = last, h
+            np.multiply(last[:-1], MULTIPLIER, out=h[1:])
+            h[0] = 0
+            h += x
+        if k in ORDERS:
+            least = max(1, k - 1)
+            owner = np.flatnonzero(lengths > least) if ends_only else np.flatnonzero(place >= least)
+            mixed = h[ends[owner] if ends_only else owner]
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0x94D049BB133111EB)
+            yield (mixed >> np.uint64(64 - BITS)).astype(np.int64), owner
+
+
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Model:
@@ -106,12 +117,15 @@ class Model:
         self.goes_on = np.array([goes_on.get(k, 0) for k in self.keys.tolist()], dtype=np.float64)
         self.totals = totals
 
-    def odds(self, texts: list[str], strata: list[str], counted: np.ndarray) -> np.ndarray:
-        """log(P(context | goes on) / P(context | ends)) of each text's end; counted: is it in the counts of ends itself?"""
+    def odds(self, ends: list[tuple[np.ndarray, np.ndarray]], strata: list[str], counted: np.ndarray) -> np.ndarray:
+        """log(P(context | goes on) / P(context | ends)) of each text's end; counted: is it in the counts of ends itself?
+
+        ends: the ``contexts`` of the ends of the texts.
+        """
         all_ends = np.array([self.totals.get(s, (1.0, 1.0))[0] for s in strata])
         all_on = np.array([self.totals.get(s, (1.0, 1.0))[1] for s in strata])
-        share = np.full(len(texts), 0.5)  # of ends, were both as frequent
-        for _, bucket, owner, _ in contexts(texts, strata, ends_only=True):
+        share = np.full(len(strata), 0.5)  # of ends, were both as frequent
+        for bucket, owner in ends:
             at = np.minimum(np.searchsorted(self.keys, bucket), max(0, len(self.keys) - 1))
             hit = self.keys[at] == bucket if len(self.keys) else np.zeros(len(bucket), bool)
             e = np.where(hit, self.ends[at], 0.0) - counted[owner]
@@ -157,7 +171,7 @@ def _usable(batch: pa.RecordBatch, text_at: int, field_at: int) -> tuple[list[in
     return rows, texts, strata, dangling
 
 
-def _pieces(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
+def _pieces(texts: list[str], most: int = 500_000) -> Iterator[slice]:
     """Slices of at most so many characters, but for a single longer text."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -169,6 +183,17 @@ def _pieces(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def _summed(counts: DataFrame) -> tuple[dict[int, int], dict[str, int]]:
+    """Counts by bucket, and by stratum under "/<stratum>"; at most 2 ** BITS buckets reach the driver."""
+    buckets, totals = {}, {}
+    for r in counts.groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r.k[0] == "/":
+            totals[r.k[1:]] = r.n
+        else:
+            buckets[int(r.k)] = r.n
+    return buckets, totals
+
+
 def _count_ends(vals: DataFrame, first: Model | None) -> tuple[dict[int, int], dict[str, int]]:
     """Ends by bucket and by stratum; in the second round only those that the first judged whole."""
     shared = vals.sparkSession.sparkContext.broadcast(first)
@@ -178,55 +203,41 @@ def _count_ends(vals: DataFrame, first: Model | None) -> tuple[dict[int, int], d
             _, texts, strata, _ = _usable(batch, 0, 1)
             if not texts:
                 continue
-            keep = shared.value.odds(texts, strata, np.ones(len(texts))) < 1 if shared.value else np.ones(len(texts), bool)
-            found: list[list[int]] = [[] for _ in texts]
-            for _, bucket, owner, _ in contexts(texts, strata, ends_only=True):
-                for o, b in zip(owner.tolist(), bucket.tolist()):
-                    found[o].append(b)
-            picked = np.flatnonzero(keep).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([strata[i] for i in picked], pa.string()), pa.array([found[i] for i in picked], pa.list_(pa.int32()))], ["stratum", "buckets"])
-
-    once = vals.filter("not limit").select("value", "field").mapInArrow(tails, "stratum string, buckets array<int>")
-    both = once.select(F.explode(F.concat(F.transform("buckets", lambda b: b.cast("string")), F.array(F.concat(F.lit("/"), F.col("stratum"))))).alias("k")).groupBy("k").count()
-    ends, totals = {}, {}
-    for r in both.toLocalIterator():
-        if r.k[0] == "/":
-            totals[r.k[1:]] = r["count"]
-        else:
-            ends[int(r.k)] = r["count"]
-    return ends, totals
+            ends = list(contexts(texts, strata, ends_only=True))
+            keep = shared.value.odds(ends, strata, np.ones(len(texts))) < 1 if shared.value else np.ones(len(texts), bool)
+            buckets, n = np.unique(np.concatenate([bucket[keep[owner]] for bucket, owner in ends]), return_counts=True)
+            names, sums = np.unique(np.array(strata)[keep], return_counts=True)
+            keys = [str(b) for b in buckets.tolist()] + ["/" + x for x in names.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n.tolist() + sums.tolist(), pa.int64())], ["k", "n"])
+
+    return _summed(vals.filter("not limit").select("value", "field").mapInArrow(tails, "k string, n bigint"))
 
 
 def _count_continuations(vals: DataFrame, wanted: dict[int, int]) -> tuple[dict[int, int], dict[str, int]]:
     """How often a text goes on after a context, for the buckets of contexts that end some value."""
-    flags = np.zeros(1 << BITS, dtype=bool)
-    flags[list(wanted)] = True
-    shared = vals.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    keys = np.array(sorted(wanted), dtype=np.int64)
+    shared = vals.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(shared.value).astype(bool)
-        sums = np.zeros(1 << BITS, dtype=np.int64)
+        keys = shared.value
+        flags = np.zeros(1 << BITS, dtype=bool)
+        flags[keys] = True
+        slot = np.zeros(1 << BITS, dtype=np.int32)
+        slot[keys] = np.arange(len(keys))
+        sums = np.zeros(len(keys), dtype=np.int64)
         totals: dict[str, int] = {}
         for batch in batches:
             _, texts, strata, _ = _usable(batch, 0, 1)
             for s in _pieces(texts):
-                for k, bucket, owner, is_end in contexts(texts[s], strata[s], ends_only=False):
-                    picked = bucket[flags[bucket] & ~is_end]
-                    sums += np.bincount(picked, minlength=1 << BITS)
-                    if k == 1:
-                        for name, text in zip(strata[s], texts[s]):
-                            totals[name] = totals.get(name, 0) + len(text)
+                found = [slot[bucket[flags[bucket]]] for bucket, _ in contexts(texts[s], strata[s], ends_only=False)]
+                sums += np.bincount(np.concatenate(found), minlength=len(keys))
+                for name, text in zip(strata[s], texts[s]):
+                    totals[name] = totals.get(name, 0) + len(text)
         at = np.flatnonzero(sums)
-        keys = [str(k) for k in at.tolist()] + ["/" + n for n in totals]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sums[at].tolist() + list(totals.values()), pa.int64())], ["k", "n"])
+        names = [str(k) for k in keys[at].tolist()] + ["/" + n for n in totals]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums[at].tolist() + list(totals.values()), pa.int64())], ["k", "n"])
 
-    goes_on, totals = {}, {}
-    for r in vals.select("value", "field").mapInArrow(count, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-        if r.k[0] == "/":
-            totals[r.k[1:]] = r.n
-        else:
-            goes_on[int(r.k)] = r.n
-    return goes_on, totals
+    return _summed(vals.select("value", "field").mapInArrow(count, "k string, n bigint"))
 
 
 def train(vals: DataFrame) -> tuple[Model, Model]:
@@ -252,8 +263,9 @@ def log_odds(vals: DataFrame, models: tuple[Model, Model]) -> DataFrame:
             if not rows:
                 continue
             free = ~batch.column(4).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(bool)
-            whole = free & (first.odds(texts, strata, free.astype(float)) < 1)
-            odds = second.odds(texts, strata, whole.astype(float)) + np.where(dangling, DANGLES, [-TERMINATED if TERMINATOR.search(t) else 0.0 for t in texts])
+            ends = list(contexts(texts, strata, ends_only=True))
+            whole = free & (first.odds(ends, strata, free.astype(float)) < 1)
+            odds = second.odds(ends, strata, whole.astype(float)) + np.where(dangling, DANGLES, [-TERMINATED if TERMINATOR.search(t) else 0.0 for t in texts])
             at = pa.array(rows)
             original = batch.column(3).take(at)
             yield pa.RecordBatch.from_arrays(
@@ -299,7 +311,7 @@ def truncated(rows: DataFrame, id_col: str = "seq", columns: tuple[str, ...] = (
     limits = field_limits(vals).select(F.col("field").alias("_f"), F.col("length").alias("_l"), F.lit(True).alias("_limit"))
     vals = vals.join(limits, (F.col("field") == F.col("_f")) & (F.length("value") == F.col("_l")), "left").select("id", "source", "grp", "field", "value", F.col("_limit").isNotNull().alias("limit"))
     once = cut_lineage(vals.select("grp", "field", "value", "limit").dropDuplicates(["grp"]))
-    scored = log_odds(vals, train(once)).withColumn("src", F.coalesce("source", F.lit("\0")))
+    scored = cut_lineage(log_odds(vals, train(once)).withColumn("src", F.coalesce("source", F.lit("\0"))))
     step = F.round(F.least(F.greatest("odds", F.lit(-12.0)), F.lit(12.0)))
     cells = scored.groupBy("src", "field", "lang", "length", step.alias("step")).agg(F.count("*").alias("n"))
     base = cells.groupBy("src", "field", "lang").agg(((F.sum(F.when(F.col("step") > threshold, F.col("n")).otherwise(0)) + 1) / (F.sum("n") + 20)).alias("base"))
