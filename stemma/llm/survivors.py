@@ -110,7 +110,8 @@ def source_quality(known: DataFrame, rounds: int = 8, prior_true: float = 0.5) -
     (sensitivity 0.7, specificity 0.9, worth 20 facts) keep sources with few facts defined.
     """
     patterns = cut_lineage(known.groupBy("field", "asserted", "silent").agg(F.count("*").alias("weight")))
-    patterns = patterns.withColumn("pid", F.xxhash64("field", "asserted", "silent"))
+    joined = lambda c: F.array_join(c, "\x1f")  # noqa: E731  # a hash of arrays would not tell where one ends
+    patterns = patterns.withColumn("pid", F.xxhash64("field", joined("asserted"), F.lit("|"), joined("silent")))
     one = lambda c, said: patterns.select("pid", "field", "weight", F.explode(c).alias("src"), F.lit(said).alias("said"))
     votes = one("asserted", True).unionByName(one("silent", False))
     quality = {(r.field, r.src): (0.7, 0.9) for r in votes.select("field", "src").distinct().collect()}
