@@ -9,6 +9,7 @@ of their script.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,14 +34,15 @@ MAY_END = frozenset("inc ltd co corp jr al etc approx aprox u.s u.k u.s.a p.m a.
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“”", "«": "»", "‹": "›"}
 CLOSERS = frozenset(")]}）］】〕」』》〉”»›\"'’")
 QUOTE_OPENERS = frozenset("\"“„«‹‘([{「『（")
+MARKS = regex.compile("[" + "".join(f"\\{c}" for c in {*OPENERS, *"".join(OPENERS.values()), '"'}) + "]")
 HARD = frozenset("。！？｡．।॥۔؟\u037e")  # end a sentence wherever they stand outside quotations
 TERMINATOR = regex.compile(r"[.!?…。！？｡．।॥۔؟;\u037e]+")
 BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r])(?:[^\S\r\n]*(?:\r\n|[\n\r]))+|\u2029")
 LINE = regex.compile(r"[^\r\n]+")
 BULLET = regex.compile(r"[^\S\r\n]*[-*+•‣◦▪●·–—]\s+\S")
 NUMBERED = regex.compile(r"[^\S\r\n]*\(?(?:\d{1,3}(?:\.\d{1,3})*|[a-zA-Z]|[ivxIVX]{1,4})[.)]\s+\S")
-LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’°-][\p{L}\p{M}\p{N}]+)*°?$")
-SPACED_LETTERS = regex.compile(r"(?:^|\s)(?:\p{L}\.\s?)+\p{L}$")
+THAI = regex.compile(r"[ก-๿]")
+FOLLOWER = regex.compile(r"[\p{L}\p{M}]+")
 DOTTED = regex.compile(r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)(\.?)(?=(\s*)(.?))", regex.S)
 THAI_BLANK = regex.compile(r"(?<=[ก-๿]\p{Cf}*)\s+(?=\p{Cf}*[ก-๿])")
 GREEK = regex.compile(r"[\p{Greek}]")
@@ -72,6 +74,41 @@ def dot_evidence(text: str) -> dict[str, list[int]]:
     return seen
 
 
+def word_evidence(text: str, lower: str, word: str) -> tuple[int, int, int, int]:
+    """The same of a single word; lower: the text in lower case."""
+    bare = dotted = goes_on = ends = 0
+    at = lower.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if (not at or not _in_word(lower[at - 1])) and (end == len(lower) or not _in_word(lower[end])):
+            if lower[end : end + 1] != ".":
+                bare += 1
+            else:
+                rest = text[end + 1 : end + 60] if len(text) == len(lower) else lower[end + 1 : end + 60]
+                after = rest.lstrip()
+                gap = rest[: len(rest) - len(after)]
+                if not after or gap.count("\n") > 1:
+                    dotted += 1
+                    ends += 1
+                elif gap or after[0] in ",;:":
+                    dotted += 1
+                    goes_on += after[0] in ",;:" or (after[0].islower() and len(text) == len(lower))
+        at = lower.find(word, end)
+    return bare, dotted, goes_on, ends
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
+def last_word(text: str, low: int, end: int) -> str:
+    """The word that ends at ``end``, with full stops, apostrophes and hyphens inside."""
+    at = end
+    while at > low and (_in_word(text[at - 1]) or text[at - 1] in ".'’°-"):
+        at -= 1
+    return text[at:end].lstrip(".'’°-")
+
+
 def judge(row: list[int] | tuple[int, ...], sure: int) -> str:
     """'T' never ends a sentence, 'F' may end one, '' no abbreviation, '?' not settled by this evidence."""
     bare, dotted, goes_on, ends = row
@@ -102,27 +139,25 @@ def proper_names(text: str) -> tuple[set[str], set[str]]:
 def protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost quotations and brackets, both marks included; an opening mark without a partner protects nothing."""
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # closing marks that some open mark waits for, so that a stray one costs no search
     found: list[tuple[int, int]] = []
-    for i in range(start, end):
-        c = text[i]
-        if c == '"':
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if at is None:
-                stack.append(('"', i))
-                continue
-        elif c in ")]}）］】〕」』》〉”»›“":
-            at = next((k for k in range(len(stack) - 1, -1, -1) if c in OPENERS.get(stack[k][0], "")), None)
-            if at is None:
-                if c in OPENERS:
-                    stack.append((c, i))
-                continue
-        elif c in OPENERS:
-            stack.append((c, i))
-            continue
-        else:
+
+    def open_(c: str, i: int) -> None:
+        stack.append((c, i))
+        waiting.update(OPENERS.get(c, c))
+
+    for m in MARKS.finditer(text, start, end):
+        c, i = m.group(), m.start()
+        if not waiting[c]:
+            if c in OPENERS or c == '"':
+                open_(c, i)
             continue
-        found.append((stack[at][1], i + 1))
-        del stack[at:]
+        while True:  # what was opened since and never closed protects nothing
+            o, at = stack.pop()
+            waiting.subtract(OPENERS.get(o, o))
+            if c in OPENERS.get(o, o):
+                break
+        found.append((at, i + 1))
     outer: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if outer and a < outer[-1][1]:
@@ -131,6 +166,10 @@ def protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return outer
 
 
+#: Documents of more characters are read once for the evidence on all words, others for each doubtful word.
+LONG = 20_000
+
+
 class Splitter:
     """Splits texts; ``corpus`` maps words to the verdict of the whole corpus."""
 
@@ -142,7 +181,8 @@ class Splitter:
         if not text or text.isspace():
             return []
         self.text, self.lang = text, (lang or "").lower()[:2]
-        self.evidence: dict | None = None
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.lower, self.thai = text.lower(), bool(THAI.search(text))
         self.names: tuple[set[str], set[str]] | None = None
         out: list[tuple[int, int]] = []
         at = 0
@@ -182,16 +222,20 @@ class Splitter:
         head = NUMBERED.match(text, start, end)
         first = head.end() - 1 if head else start
         shields = protected(text, start, end)
+        opens = [s[0] for s in shields]
+        self.first_word = next((i for i in range(start, end) if text[i].isalnum()), end)
+        self.near: bool | None = None
         cuts = []
         for m in TERMINATOR.finditer(text, first, end):
             a, b = m.span()
-            shield = next((s for s in shields if s[0] < a < s[1]), None)
+            k = bisect_left(opens, a) - 1
+            shield = shields[k] if k >= 0 and a < shields[k][1] else None
             if shield:
                 # a quotation that ends with a terminator may end the sentence too
                 if b < shield[1] and all(c in CLOSERS or c.isspace() for c in text[b : shield[1] - 1]) and self._after_quote(start, shield, end):
                     cuts.append(shield[1])
                 continue
-            while b < end and text[b] in CLOSERS and not any(s[0] == b for s in shields):
+            while b < end and text[b] in CLOSERS and not self._opens(opens, b):
                 b += 1
             if self._ends(start, a, m.end(), b, end):
                 cuts.append(b)
@@ -201,10 +245,16 @@ class Splitter:
                 self._thai(at, c, shields, out)
                 at = c
 
+    @staticmethod
+    def _opens(opens: list[int], at: int) -> bool:
+        k = bisect_left(opens, at)
+        return k < len(opens) and opens[k] == at
+
     def _thai(self, a: int, b: int, shields: list[tuple[int, int]], out: list) -> None:
-        at = a
-        for m in THAI_BLANK.finditer(self.text, a, b):
-            if not any(s[0] < m.start() < s[1] for s in shields):
+        at, opens = a, [s[0] for s in shields] if self.thai else []
+        for m in THAI_BLANK.finditer(self.text, a, b) if self.thai else ():
+            k = bisect_left(opens, m.start()) - 1
+            if k < 0 or m.start() >= shields[k][1]:
                 self._add(at, m.start(), out)
                 at = m.end()
         self._add(at, b, out)
@@ -224,9 +274,10 @@ class Splitter:
         if not c:
             return True
         if self.text[shield[0]] in "([{（［【〔":
-            inner = self.text[start : shield[0]].strip()
-            before = not inner or inner[-1] in ".!?。！？"
-            return before and letter.isupper()
+            at = shield[0] - 1
+            while at >= start and self.text[at].isspace():
+                at -= 1
+            return (at < start or self.text[at] in ".!?。！？") and letter.isupper()
         if at == shield[1]:  # nothing between the quotation and what follows
             return False
         return c in QUOTE_OPENERS or c.isupper() or c.isdigit()
@@ -239,12 +290,12 @@ class Splitter:
         if not c:
             return True
         gap = at > b
-        if not any(x.isalnum() for x in text[start:a]):
+        if a <= self.first_word:
             return False
         if set(run) & HARD:
             return True
         if ";" in run:
-            last = next((x for x in reversed(text[start:a]) if x.isalpha()), "")
+            last = next((x for x in reversed(text[max(start, a - 200) : a]) if x.isalpha()), "")
             return bool(GREEK.match(last)) and gap and not letter.islower()
         starts = c == "{" or letter.isupper() or letter.isdigit() or (letter.isalpha() and not letter.islower())
         if "!" in run or "?" in run:
@@ -253,8 +304,8 @@ class Splitter:
             return gap and starts and c not in ",;:)" and not letter.isdigit()
         if c in ",;:)]}-–—":
             return False
-        m = LAST_WORD.search(text, max(start, a - 40), a)
-        word = regex.split("['’]", m.group())[-1] if m else ""  # l'art. is art.
+        whole = last_word(text, max(start, a - 40), a)
+        word = whole.replace("’", "'").rpartition("'")[2]  # l'art. is art.
         if not starts:
             return gap and letter.islower() and self._ordinary(word, start, a, end)
         if not gap:
@@ -265,7 +316,7 @@ class Splitter:
                 return c.isupper()
             if letter.isupper():
                 number = c == letter and word.replace(".", "").isdigit() and text[at + 1 : at + 2].islower()
-                return (number or plain and word[-1].islower()) and at + 1 < end and not text[at + 1].isupper() and "/" not in text[max(start, m.start() - 1) : a]
+                return (number or plain and word[-1].islower()) and at + 1 < end and not text[at + 1].isupper() and "/" not in text[max(start, a - len(whole) - 1) : a]
             return plain and letter.isalpha() and unicodedata.category(word[-1]) == "Lo"
         if not word:
             return True
@@ -273,15 +324,13 @@ class Splitter:
             return not (len(word) <= 2 and letter.isalpha() and self._german(start, end))
         if len(word) == 1 and word.isalpha():
             return False
-        if SPACED_LETTERS.search(text, max(start, a - 20), a) and len(word) == 1:
-            return False
         kind = self._kind(word)
         if kind == "T" or (letter.isdigit() and word.lower() in ("approx", "aprox")):
             return False
         if kind == "F" and word.lower() not in MAY_END:
             if letter.isdigit():
                 return False
-            follower = regex.match(r"[\p{L}\p{M}]+", text, pos=at)
+            follower = FOLLOWER.match(text, at)
             if follower:
                 if self.names is None:
                     self.names = proper_names(text)
@@ -290,9 +339,11 @@ class Splitter:
 
     def _german(self, start: int, end: int) -> bool:
         """Are ordinals written with a full stop here? The words around decide, then the language given."""
-        near = self.text[start:end].lower()
-        own, other = len(GERMAN.findall(near)), len(NOT_GERMAN.findall(near))
-        return own > other or (own == other and self.lang == "de")
+        if self.near is None:
+            near = self.text[start:end].lower()
+            own, other = len(GERMAN.findall(near)), len(NOT_GERMAN.findall(near))
+            self.near = own > other or (own == other and self.lang == "de")
+        return self.near
 
     def _ordinary(self, word: str, start: int, a: int, end: int) -> bool:
         """Is a full stop followed by a lower-case letter surely a sentence end, as after words that are no abbreviation?"""
@@ -303,7 +354,15 @@ class Splitter:
         if not word.isalpha() or len(word) < 3 or self._kind(word):
             return False
         low = word.lower()
-        return len(word) > 5 or (len(word) > 3 and low[-1] in VOWELS) or self.corpus.get(low) == "W" or bool(self.evidence and self.evidence.get(low, (0,))[0])
+        return len(word) > 5 or (len(word) > 3 and low[-1] in VOWELS) or self.corpus.get(low) == "W" or self._evidence(low)[0] > 0
+
+    def _evidence(self, low: str) -> tuple[int, int, int, int]:
+        """What this document says about a word; a long document is read once for all its words."""
+        if len(self.text) > LONG and not self.seen:
+            self.seen = {w: tuple(r) for w, r in dot_evidence(self.text).items()}
+        if low not in self.seen:
+            self.seen[low] = (0, 0, 0, 0) if len(self.text) > LONG else word_evidence(self.text, self.lower, low)
+        return self.seen[low]
 
     def _kind(self, word: str) -> str:
         """'T' an abbreviation that never ends a sentence, 'F' one that may, '' none."""
@@ -314,10 +373,9 @@ class Splitter:
             return "F"
         if any(x.isdigit() for x in word) or len(word) > 12:
             return ""
-        if self.evidence is None:
-            self.evidence = dot_evidence(self.text)
-        here = judge(self.evidence.get(low, (0, 0, 0, 0)), 2)
-        if here == "F" or (here == "" and self.evidence[low][0]):
+        row = self._evidence(low)
+        here = judge(row, 2)
+        if here == "F" or (here == "" and row[0]):
             return here
         known = self.corpus.get(low, "")
         return "" if known == "W" else known
