@@ -149,14 +149,32 @@ def values(rows: DataFrame, id_col: str, columns: tuple[str, ...], source: str,
     return flat.select("id", "source", F.xxhash64("record", "v.field", "v.value").alias("grp"), "v.field", "v.value")
 
 
+def _sizes(length: Column, octets: Column) -> Column:
+    """A size in characters, and one in bytes where it differs: limits come in either unit."""
+    unit = lambda u, c: F.struct(F.lit(u).alias("unit"), c.cast("long").alias("size"))
+    return F.explode(F.when(length == octets, F.array(unit("c", length))).otherwise(F.array(unit("c", length), unit("b", octets)))).alias("s")
+
+
 def field_limits(vals: DataFrame) -> DataFrame:
-    """(field, length) at which, for some source, far more different texts end than at the lengths around."""
-    cells = vals.select("source", "field", F.length("value").alias("length"), F.xxhash64(F.col("value")).alias("t")).distinct().groupBy("source", "field", "length").agg(F.count("*").alias("n"))
-    near = cells.select("source", "field", F.explode(F.array(*(F.col("length") + i for i in range(-AROUND, AROUND + 1) if i))).alias("length"), "n")
-    mean = near.groupBy("source", "field", "length").agg((F.sum("n") / (2 * AROUND)).alias("mean"))
+    """(field, unit, size) at which, for some source, far more different texts end than at the sizes around."""
+    sized = vals.select("source", "field", F.xxhash64("value").alias("t"), _sizes(F.length("value"), F.octet_length("value"))).select("source", "field", "t", "s.unit", "s.size")
+    cells = sized.distinct().groupBy("source", "field", "unit", "size").agg(F.count("*").alias("n"))
+    near = cells.select("source", "field", "unit", F.explode(F.array(*(F.col("size") + i for i in range(-AROUND, AROUND + 1) if i))).alias("size"), "n")
+    mean = near.groupBy("source", "field", "unit", "size").agg((F.sum("n") / (2 * AROUND)).alias("mean"))
     a, b = cells.alias("a"), mean.alias("b")
-    both = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.length") == F.col("b.length")), "left")
-    return both.filter(F.col("n") >= F.greatest(F.lit(LEAST), SPIKE * F.coalesce("mean", F.lit(0.0)))).select("a.field", "a.length").distinct()
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    for c in ("field", "unit", "size"):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    both = a.join(b, same, "left")
+    return both.filter(F.col("n") >= F.greatest(F.lit(LEAST), SPIKE * F.coalesce("mean", F.lit(0.0)))).select("a.field", "a.unit", "a.size").distinct()
+
+
+def _at_limit(vals: DataFrame, limits: DataFrame) -> DataFrame:
+    """vals with limit: does the value's size look like a limit of its field?"""
+    one = lambda unit, name: limits.filter(F.col("unit") == unit).select("field", F.col("size").alias(name), F.lit(True).alias(f"_{unit}"))
+    sized = vals.withColumns({"_length": F.length("value").cast("long"), "_octets": F.octet_length("value").cast("long")})
+    hit = sized.join(one("c", "_length"), ["field", "_length"], "left").join(one("b", "_octets"), ["field", "_octets"], "left")
+    return hit.select("id", "source", "grp", "field", "value", (F.col("_c").isNotNull() | (F.col("_b").isNotNull() & (F.col("_octets") != F.col("_length")))).alias("limit"))
 
 
 def _usable(batch: pa.RecordBatch, text_at: int, field_at: int) -> tuple[list[int], list[str], list[str], list[bool]]:
@@ -251,7 +269,7 @@ def train(vals: DataFrame) -> tuple[Model, Model]:
 
 
 def log_odds(vals: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """(id, source, field, lang, length, odds) of every value that is judged."""
+    """(id, source, field, lang, length, octets, odds) of every value that is judged."""
     shared = vals.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,11 +287,11 @@ def log_odds(vals: DataFrame, models: tuple[Model, Model]) -> DataFrame:
             at = pa.array(rows)
             original = batch.column(3).take(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([s.split("/")[1] for s in strata], pa.string()), pc.utf8_length(original).cast(pa.int64()), pa.array(odds, pa.float64())],
-                ["id", "source", "field", "lang", "length", "odds"],
+                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([s.split("/")[1] for s in strata], pa.string()), pc.utf8_length(original).cast(pa.int64()), pc.binary_length(original).cast(pa.int64()), pa.array(odds, pa.float64())],
+                ["id", "source", "field", "lang", "length", "octets", "odds"],
             )
 
-    return vals.select("id", "source", "field", "value", "limit").mapInArrow(score, "id bigint, source string, field string, lang string, length bigint, odds double")
+    return vals.select("id", "source", "field", "value", "limit").mapInArrow(score, "id bigint, source string, field string, lang string, length bigint, octets bigint, odds double")
 
 
 #: Log-odds that a terminator at the end takes away: rare last words say little against it.
@@ -299,7 +317,7 @@ def truncated(rows: DataFrame, id_col: str = "seq", columns: tuple[str, ...] = (
     """(id, source, field, lang, length, odds, posterior, cut) of every judged value; cut: its end was broken off.
 
     posterior = odds of its end + log-odds of the share of values judged cut among those of the same source, field and
-    length, drawn by ``trust`` values towards the share in the source, field and language. cut: posterior > threshold.
+    size in characters or in bytes, whichever is larger, drawn by ``trust`` values towards the share in the source, field and language. cut: posterior > threshold.
 
     - Null, empty and blank values, values shortened by the index itself (a blank and an ellipsis at the end) and
       labelled lists such as keywords are not judged and have no row.
@@ -308,19 +326,21 @@ def truncated(rows: DataFrame, id_col: str = "seq", columns: tuple[str, ...] = (
     - Values are read whole. An empty table gives no rows. Other columns are not read.
     """
     vals = values(rows, id_col, columns, source, group)
-    limits = field_limits(vals).select(F.col("field").alias("_f"), F.col("length").alias("_l"), F.lit(True).alias("_limit"))
-    vals = vals.join(limits, (F.col("field") == F.col("_f")) & (F.length("value") == F.col("_l")), "left").select("id", "source", "grp", "field", "value", F.col("_limit").isNotNull().alias("limit"))
+    vals = _at_limit(vals, field_limits(vals))
     once = cut_lineage(vals.select("grp", "field", "value", "limit").dropDuplicates(["grp"]))
     scored = cut_lineage(log_odds(vals, train(once)).withColumn("src", F.coalesce("source", F.lit("\0"))))
     step = F.round(F.least(F.greatest("odds", F.lit(-12.0)), F.lit(12.0)))
-    cells = scored.groupBy("src", "field", "lang", "length", step.alias("step")).agg(F.count("*").alias("n"))
+    keys = ["src", "field", "lang", "length", "octets"]
+    cells = scored.groupBy(*keys, step.alias("step")).agg(F.count("*").alias("n"))
     base = cells.groupBy("src", "field", "lang").agg(((F.sum(F.when(F.col("step") > threshold, F.col("n")).otherwise(0)) + 1) / (F.sum("n") + 20)).alias("base"))
-    steps = cells.groupBy("src", "field", "length", "step").agg(F.sum("n").alias("n"))
-    spikes = steps.groupBy("src", "field", "length").agg(F.collect_list(F.struct("step", "n")).alias("steps"), F.sum("n").alias("n"))  # 25 steps at most
-    prior = cells.select("src", "field", "lang", "length").distinct().join(base, ["src", "field", "lang"]).join(spikes, ["src", "field", "length"])
-    prior = prior.withColumn("prior", _share(trust)).select("src", "field", "lang", "length", F.log(F.col("prior") / (1 - F.col("prior"))).alias("prior"))
+    sized = cells.select("src", "field", "step", "n", _sizes(F.col("length"), F.col("octets"))).select("src", "field", "s.unit", "s.size", "step", "n")
+    steps = sized.groupBy("src", "field", "unit", "size", "step").agg(F.sum("n").alias("n"))
+    spikes = steps.groupBy("src", "field", "unit", "size").agg(F.collect_list(F.struct("step", "n")).alias("steps"), F.sum("n").alias("n"))  # 25 steps at most
+    prior = cells.select(*keys, _sizes(F.col("length"), F.col("octets"))).distinct().select(*keys, "s.unit", "s.size")
+    prior = prior.join(base, ["src", "field", "lang"]).join(spikes, ["src", "field", "unit", "size"]).groupBy(*keys).agg(F.max(_share(trust)).alias("prior"))
+    prior = prior.select(*keys, F.log(F.col("prior") / (1 - F.col("prior"))).alias("prior"))
     posterior = F.col("odds") + F.col("prior")
-    return scored.join(prior, ["src", "field", "lang", "length"]).select("id", "source", "field", "lang", "length", "odds", posterior.alias("posterior"), (posterior > threshold).alias("cut"))
+    return scored.join(prior, keys).select("id", "source", "field", "lang", "length", "odds", posterior.alias("posterior"), (posterior > threshold).alias("cut"))
 
 
 def truncation_rates(judged: DataFrame, rows: DataFrame, columns: tuple[str, ...] = ("title", "snippet"), source: str = "sourced_from") -> DataFrame:
