@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stemma.functions import text as T
-from stemma.operators import dml, merge, mining, partition, splitting, stats
+from stemma.operators import dml, merge, mining, partition, planner, splitting, stats
 from stemma.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -551,6 +551,48 @@ def year_windows(get: Get) -> DataFrame:
     return splitting.year_windows(get("conferences").select("query"), 2000, 2024, _known(get), 15)
 
 
+@query("""SELECT t.conference_id, t.year_from AS year, count(*) AS leaves, sum(total_results_estimate)::BIGINT AS estimate FROM tasks t LEFT JOIN (SELECT conference_id, year, count(*) AS n FROM papers GROUP BY ALL) c ON c.conference_id = t.conference_id AND c.year = t.year_from
+ WHERE year_from = year_to AND len(keywords) > 0 GROUP BY t.conference_id, t.year_from HAVING count(*) >= 2 AND bool_and(coalesce(total_results_estimate > 0, false)) AND (any_value(n) IS NULL OR sum(total_results_estimate) >= 0.95 * any_value(n))""")
+def reusable_years(get: Get) -> DataFrame:
+    counts = get("papers").groupBy("conference_id", "year").agg(F.count("*").alias("count"))
+    return planner.reusable_years(get("tasks"), counts)
+
+
+@query("""WITH k AS (SELECT conference_id, year, count(DISTINCT hash) AS known, count(*) * 3 AS "true" FROM papers WHERE conference_id IS NOT NULL GROUP BY ALL)
+SELECT conference_id, year, known, "true", round(CASE WHEN "true" > known THEN known::DOUBLE / "true"::DOUBLE ELSE 1.0 END, 9) AS coverage, greatest(1, floor(40.0::DOUBLE * known::DOUBLE / "true"::DOUBLE))::INTEGER AS doc_limit FROM k""")
+def document_limits(get: Get) -> DataFrame:
+    p = get("papers").filter("conference_id is not null")
+    counts = p.groupBy("conference_id", "year").agg((F.count("*") * 3).alias("count"))
+    return planner.document_limits(p, counts, 50, 0.8).withColumn("coverage", F.round("coverage", 9))
+
+
+@query()
+def venue_keywords(get: Get) -> DataFrame:
+    """The keyword pool of the venue with the most papers: its own mined words, then configured ones."""
+    papers = get("papers")
+    texts = planner.venue_documents(papers, 7).select("hash", F.concat_ws(" ", "title", "snippet").alias("text"))
+    return with_keywords(lambda g, k: planner.keyword_pool(planner.mined_keywords(papers, 7), k, texts, '"Neural Translation"'), get)
+
+
+@query()
+def year_leaves(get: Get) -> DataFrame:
+    """A year of the largest venue, partitioned and verified against counts of its own papers."""
+    papers, spark = get("papers"), get("conferences").sparkSession
+    docs = planner.venue_documents(papers, 7, 2016, 2016)
+    rows = partition.atoms(docs.select("hash", F.concat_ws(" ", "title", "snippet").alias("text")), keywords_of(spark)).collect()  # at most 2 ** 8 signatures
+
+    class Known(splitting.CountOracle):
+        def __call__(self, text: str, *_: int) -> int:
+            import re
+
+            inc, exc = set(re.findall(r' AND "([^"]*)"', text)), set(re.findall(r' -"([^"]*)"', text))
+            return sum(r["size"] for r in rows if inc <= set(r.signature) and not exc & set(r.signature))
+
+    total = sum(r["size"] for r in rows)
+    ok, leaves = planner.plan_year(papers, 7, '"seven"', 2016, total, keywords_of(spark), Known({}), max(2, total * 9 // 10), least=2, min_balance=0.0)
+    return spark.createDataFrame([(x.query, list(x.keywords), x.count, ok) for x in leaves], "query string, keywords array<string>, count bigint, complete boolean")
+
+
 @query()
 def over_cap_split(get: Get) -> DataFrame:
     """Leaves of the paper collection taken as one over-full search, from counts of conditioned texts."""

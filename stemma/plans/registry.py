@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stemma.plans import general, reference
+from stemma.plans import general, library
 
 FLAGSHIP = "mine_words"
-QUERIES = {**reference.QUERIES, **general.QUERIES}
-SQL = {**reference.SQL, **general.SQL}
+QUERIES = {**library.QUERIES, **general.QUERIES}
+SQL = {**library.SQL, **general.SQL}
