@@ -43,8 +43,8 @@ BULLET = regex.compile(r"[^\S\r\n]*[-*+•‣◦▪●·–—]\s+\S")
 NUMBERED = regex.compile(r"[^\S\r\n]*\(?(?:\d{1,3}(?:\.\d{1,3})*|[a-zA-Z]|[ivxIVX]{1,4})[.)]\s+\S")
 THAI = regex.compile(r"[ก-๿]")
 FOLLOWER = regex.compile(r"[\p{L}\p{M}]+")
-DOTTED = regex.compile(r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)(\.?)(?=(\s*)(.?))", regex.S)
-THAI_BLANK = regex.compile(r"(?<=[ก-๿]\p{Cf}*)\s+(?=\p{Cf}*[ก-๿])")
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+THAI_BLANK = regex.compile(r"(?<=[ก-๿])[\s\p{Cf}]*\s[\s\p{Cf}]*(?=[ก-๿])")
 GREEK = regex.compile(r"[\p{Greek}]")
 GERMAN = regex.compile(r"\b(?:der|die|das|den|und|wurde|nicht|ist|bei|von|auf|mit|ein|eine|aus)\b")
 NOT_GERMAN = regex.compile(r"\b(?:the|of|and|is|in|to|with|by|le|la|les|el|los|un|une|et|de|y|que)\b")
@@ -55,22 +55,23 @@ LEAST_SHARE = 1e-5
 
 def dot_evidence(text: str) -> dict[str, list[int]]:
     """word -> [without a full stop, with one, with one and the sentence going on, with one at the end of a block]."""
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    for m in DOTTED.finditer(text):
-        word, dot, gap, after = m.groups()
-        if len(word) > 12:
-            continue
-        row = seen[word.lower()]
-        if not dot:
-            row[0] += 1
-            continue
-        if after and not gap and after not in ",;:":
-            continue  # inside an address, a number or a quotation
-        row[1] += 1
-        if not after or gap.count("\n") > 1 or gap.count("\r") > 1:
-            row[3] += 1
-        elif after.islower() and gap or after in ",;:":
-            row[2] += 1
+    seen: dict[str, list[int]] = {w: [n, 0, 0, 0] for w, n in Counter(LETTERS.findall(text.lower())).items() if len(w) <= 12}
+    at = text.find(".")
+    while at >= 0:
+        word = last_word(text, max(0, at - 14), at).lower()
+        if word and len(word) <= 12 and not any(c.isdigit() for c in word):
+            rest = text[at + 1 : at + 60]
+            after = rest.lstrip()
+            gap = rest[: len(rest) - len(after)]
+            row = seen.setdefault(word, [0, 0, 0, 0])
+            if not after or gap or after[0] in ",;:":  # else inside an address, a number or a quotation
+                row[1] += 1
+                if not after or gap.count("\n") > 1 or gap.count("\r") > 1:
+                    row[3] += 1
+                elif after[0] in ",;:" or after[0].islower():
+                    row[2] += 1
+            row[0] -= row[0] > 0
+        at = text.find(".", at + 1)
     return seen
 
 
@@ -166,6 +167,7 @@ def protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return outer
 
 
+ASIDE = regex.compile(r"(?:\[[^\]\s]{1,20}\]|<[^>\s]{1,20}>)\s")
 #: Documents of more characters are read once for the evidence on all words, others for each doubtful word.
 LONG = 20_000
 
@@ -266,7 +268,8 @@ class Splitter:
             at += 1
         if at >= end:
             return end, "", ""
-        letter = next((c for c in text[at : at + 40] if c.isalnum()), "")
+        skip = ASIDE.match(text, at, end)  # what follows a mark such as [x] or <x> tells more than the mark
+        letter = next((c for c in text[skip.end() if skip else at : (skip.end() if skip else at) + 40] if c.isalnum()), "")
         return at, text[at], letter
 
     def _after_quote(self, start: int, shield: tuple[int, int], end: int) -> bool:
