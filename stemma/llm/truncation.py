@@ -189,6 +189,17 @@ def _usable(batch: pa.RecordBatch, text_at: int, field_at: int) -> tuple[list[in
     return rows, texts, strata, dangling
 
 
+def prepared(vals: DataFrame) -> DataFrame:
+    """(text, stratum, limit): the judged values as the model sees them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts, strata, _ = _usable(batch, 0, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(strata, pa.string()), batch.column(2).take(pa.array(rows, pa.int64()))], ["text", "stratum", "limit"])
+
+    return vals.select("value", "field", "limit").mapInArrow(run, "text string, stratum string, limit boolean")
+
+
 def _pieces(texts: list[str], most: int = 500_000) -> Iterator[slice]:
     """Slices of at most so many characters, but for a single longer text."""
     begin = size = 0
@@ -218,7 +229,7 @@ def _count_ends(vals: DataFrame, first: Model | None) -> tuple[dict[int, int], d
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, texts, strata, _ = _usable(batch, 0, 1)
+            texts, strata = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if not texts:
                 continue
             ends = list(contexts(texts, strata, ends_only=True))
@@ -228,7 +239,7 @@ def _count_ends(vals: DataFrame, first: Model | None) -> tuple[dict[int, int], d
             keys = [str(b) for b in buckets.tolist()] + ["/" + x for x in names.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n.tolist() + sums.tolist(), pa.int64())], ["k", "n"])
 
-    return _summed(vals.filter("not limit").select("value", "field").mapInArrow(tails, "k string, n bigint"))
+    return _summed(vals.filter("not limit").select(F.right("text", F.lit(max(ORDERS))), "stratum").mapInArrow(tails, "k string, n bigint"))
 
 
 def _count_continuations(vals: DataFrame, wanted: dict[int, int]) -> tuple[dict[int, int], dict[str, int]]:
@@ -245,7 +256,7 @@ def _count_continuations(vals: DataFrame, wanted: dict[int, int]) -> tuple[dict[
         sums = np.zeros(len(keys), dtype=np.int64)
         totals: dict[str, int] = {}
         for batch in batches:
-            _, texts, strata, _ = _usable(batch, 0, 1)
+            texts, strata = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s in _pieces(texts):
                 found = [slot[bucket[flags[bucket]]] for bucket, _ in contexts(texts[s], strata[s], ends_only=False)]
                 sums += np.bincount(np.concatenate(found), minlength=len(keys))
@@ -255,11 +266,11 @@ def _count_continuations(vals: DataFrame, wanted: dict[int, int]) -> tuple[dict[
         names = [str(k) for k in keys[at].tolist()] + ["/" + n for n in totals]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums[at].tolist() + list(totals.values()), pa.int64())], ["k", "n"])
 
-    return _summed(vals.select("value", "field").mapInArrow(count, "k string, n bigint"))
+    return _summed(vals.select("text", "stratum").mapInArrow(count, "k string, n bigint"))
 
 
 def train(vals: DataFrame) -> tuple[Model, Model]:
-    """The models of both rounds. vals: each text of a record once."""
+    """The models of both rounds. vals: the rows of ``prepared``, each text of a record once."""
     ends, n_ends = _count_ends(vals, None)
     goes_on, n_on = _count_continuations(vals, ends)
     both = lambda n: {s: (float(max(1, n.get(s, 1))), float(max(1, n_on.get(s, 1)))) for s in n_ends}
@@ -327,7 +338,7 @@ def truncated(rows: DataFrame, id_col: str = "seq", columns: tuple[str, ...] = (
     """
     vals = values(rows, id_col, columns, source, group)
     vals = _at_limit(vals, field_limits(vals))
-    once = cut_lineage(vals.select("grp", "field", "value", "limit").dropDuplicates(["grp"]))
+    once = cut_lineage(prepared(vals.select("grp", "field", "value", "limit").dropDuplicates(["grp"])))
     scored = cut_lineage(log_odds(vals, train(once)).withColumn("src", F.coalesce("source", F.lit("\0"))))
     step = F.round(F.least(F.greatest("odds", F.lit(-12.0)), F.lit(12.0)))
     keys = ["src", "field", "lang", "length", "octets"]
