@@ -61,13 +61,14 @@ def prepare(text: str | None) -> tuple[str, bool] | None:
     end = t[-24:]
     if not t or (end[-1] in "…." and SHORTENED.search(end)) or (":" in t[:24] or "：" in t[:24]) and LABELLED_LIST.match(t):
         return None
+    between = " " if t[-1].isalnum() and text[len(t) :] == " " else ""  # cut between words; more white space is layout
     if end[-1] in "….":
         t = DOTS.sub("", t)
         end = t[-24:]
     stem = t[: len(t) - len(end)] + DANGLING.sub("", end)
     if len(stem) != len(t) and len(stem := stem.rstrip()) > 3:
         return DIGITS.sub("0", stem).casefold(), True
-    return (DIGITS.sub("0", t).casefold(), False) if t else None
+    return (DIGITS.sub("0", t).casefold() + between, False) if t else None
 
 
 @lru_cache(maxsize=None)
@@ -224,7 +225,8 @@ def _summed(counts: DataFrame) -> tuple[dict[int, int], dict[str, int]]:
 
 
 def _count_ends(vals: DataFrame, first: Model | None) -> tuple[dict[int, int], dict[str, int]]:
-    """Ends by bucket and by stratum; in the second round only those that the first judged whole."""
+    """Ends by bucket and by stratum, 0 for buckets of none that counts: ends at a field limit, and in the second round
+    those that the first judged cut, do not."""
     shared = vals.sparkSession.sparkContext.broadcast(first)
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,13 +235,15 @@ def _count_ends(vals: DataFrame, first: Model | None) -> tuple[dict[int, int], d
             if not texts:
                 continue
             ends = list(contexts(texts, strata, ends_only=True))
-            keep = shared.value.odds(ends, strata, np.ones(len(texts))) < 1 if shared.value else np.ones(len(texts), bool)
-            buckets, n = np.unique(np.concatenate([bucket[keep[owner]] for bucket, owner in ends]), return_counts=True)
+            free = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            keep = free & (shared.value.odds(ends, strata, free.astype(float)) < 1) if shared.value else free
+            buckets, at = np.unique(np.concatenate([bucket for bucket, _ in ends]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([keep[owner] for _, owner in ends])).astype(np.int64)
             names, sums = np.unique(np.array(strata)[keep], return_counts=True)
             keys = [str(b) for b in buckets.tolist()] + ["/" + x for x in names.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n.tolist() + sums.tolist(), pa.int64())], ["k", "n"])
 
-    return _summed(vals.filter("not limit").select(F.right("text", F.lit(max(ORDERS))), "stratum").mapInArrow(tails, "k string, n bigint"))
+    return _summed(vals.select(F.right("text", F.lit(max(ORDERS))), "stratum", "limit").mapInArrow(tails, "k string, n bigint"))
 
 
 def _count_continuations(vals: DataFrame, wanted: dict[int, int]) -> tuple[dict[int, int], dict[str, int]]:
