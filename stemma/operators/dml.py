@@ -92,7 +92,8 @@ def upsert_tasks(current: DataFrame, plan: DataFrame) -> DataFrame:
     page = F.when(~have_old, F.lit(1)).when(have_new & (old == "needs_split") & (new == "pending"), F.lit(1)).otherwise(F.col("a.page"))
     keys = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in TASK_KEY]
     estimate = F.coalesce(F.when(F.col("b.total_results_estimate") > 0, F.col("b.total_results_estimate")), F.col("a.total_results_estimate"))
-    return both.select(F.coalesce("a.id", "b.id").alias("id"), *keys, page.alias("page"), status.alias("status"), estimate.alias("total_results_estimate"), F.when(have_old, F.col("a.error")).alias("error"))
+    made = F.xxhash64(*_key("b", TASK_KEY)).bitwiseAND(F.lit((1 << 62) - 1))
+    return both.select(F.coalesce("a.id", "b.id", made).alias("id"), *keys, page.alias("page"), status.alias("status"), estimate.alias("total_results_estimate"), F.when(have_old, F.col("a.error")).alias("error"))
 
 
 def replace_plan(tasks: DataFrame, keep: DataFrame, pages: DataFrame, other_names: DataFrame) -> DataFrame:
@@ -145,3 +146,33 @@ def backfill_conferences(papers: DataFrame, tasks: DataFrame) -> DataFrame:
     of_task = tasks.select(F.col("id").alias("task_id"), F.col("conference_id").alias("_c"))
     joined = papers.join(of_task, "task_id", "left")
     return joined.withColumn("conference_id", F.coalesce(no_zero(F.col("conference_id")), "_c")).withColumn("citations", F.coalesce("citations", F.lit(0).cast("bigint"))).drop("_c")
+
+
+def refresh_estimates(tasks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Tasks with the estimate of their first page (id, count), where that is known and above 0."""
+    fresh = counts.groupBy("id").agg(F.max("count").alias("_count"))
+    return tasks.join(fresh, "id", "left").withColumn("total_results_estimate", F.when(F.col("_count") > 0, F.col("_count")).otherwise(F.col("total_results_estimate"))).drop("_count")
+
+
+def already_complete(tasks: DataFrame, linked: DataFrame) -> DataFrame:
+    """(id, got): tasks past their first page that have served as many papers as their estimate says."""
+    got = linked.groupBy(F.col("task_id").alias("id")).agg(F.count("*").alias("got"))
+    return tasks.filter((F.col("total_results_estimate") > 0) & (F.col("page") > 1)).join(got, "id").filter(F.col("got") >= F.col("total_results_estimate")).select("id", "got")
+
+
+def set_venue_type(conferences: DataFrame, types: DataFrame) -> DataFrame:
+    """Venues with the type given for their name in types (name, type); others keep theirs."""
+    return conferences.join(types.select("name", F.col("type").alias("_type")).dropDuplicates(["name"]), "name", "left").select("id", "name", "query", F.coalesce("_type", "type", F.lit("conference")).alias("type"))
+
+
+def upsert_venues(conferences: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Venues by name after incoming (name, query, type): known ones take the new query and type and keep their id."""
+    b = incoming.dropDuplicates(["name"]).select("name", F.col("query").alias("_q"), F.col("type").alias("_t"))
+    both = conferences.join(b, "name", "full_outer")
+    new_id = F.xxhash64("name").bitwiseAND(F.lit((1 << 62) - 1))
+    return both.select(F.coalesce("id", new_id).alias("id"), "name", F.coalesce("_q", "query").alias("query"), F.coalesce("_t", "type", F.lit("conference")).alias("type"))
+
+
+def stored_ranking(ranked: DataFrame, corpus_size: int) -> DataFrame:
+    """(keyword, score) of a ranking mined on exactly this corpus, best first; no rows if it was another."""
+    return ranked.filter(F.col("corpus_size") == corpus_size).select("keyword", "score").orderBy(F.col("score").desc(), "keyword")

@@ -354,6 +354,23 @@ def alias_replace(get: Get) -> DataFrame:
     return dml.replace_aliases(get("conference_aliases"), new)
 
 
+@query("""SELECT t.id, CASE WHEN c.n > 0 THEN c.n ELSE t.total_results_estimate END AS total_results_estimate FROM tasks t LEFT JOIN (SELECT id, max(total_results_estimate) AS n FROM tasks_copy GROUP BY id) c ON c.id = t.id""")
+def estimate_refresh(get: Get) -> DataFrame:
+    fresh = get("tasks_copy").select("id", F.col("total_results_estimate").alias("count"))
+    return dml.refresh_estimates(get("tasks"), fresh).select("id", "total_results_estimate")
+
+
+@query("""SELECT t.id, got FROM tasks t JOIN (SELECT task_id AS id, count(DISTINCT hash) AS got FROM papers WHERE task_id <> 0 GROUP BY 1) g ON g.id = t.id WHERE total_results_estimate > 0 AND page > 1 AND got >= total_results_estimate""")
+def already_complete(get: Get) -> DataFrame:
+    return dml.already_complete(get("tasks"), stats.links(get("papers")))
+
+
+@query("""SELECT c.id, c.name, CASE WHEN c.id % 2 = 0 THEN 'source:"' || c.name || '"' ELSE c.query END AS query, CASE WHEN c.id % 2 = 0 THEN 'journal' ELSE c.type END AS type FROM conferences c""")
+def venue_upsert(get: Get) -> DataFrame:
+    new = get("conferences").filter("id % 2 = 0").select("name", F.concat(F.lit('source:"'), "name", F.lit('"')).alias("query"), F.lit("journal").alias("type"))
+    return dml.upsert_venues(get("conferences"), new)
+
+
 # ---- merge of a second store
 
 
