@@ -314,11 +314,13 @@ class Splitter:
         if not gap:
             if c in QUOTE_OPENERS:
                 return len(word) > 2 and word.isalpha() and letter.isupper()
-            plain = word.isalpha() and (len(word) > 2 or not word) and c == letter and not self._kind(word) == "T"
+            kind = self._kind(word) if word else ""
+            plain = word.isalpha() and c == letter and (kind == "F" or (len(word) > 2 and kind != "T"))
             if not word:  # after a closing mark
                 return c.isupper()
             if letter.isupper():
-                number = c == letter and word.replace(".", "").isdigit() and text[at + 1 : at + 2].islower()
+                initial = text[at + 1 : at + 3] == ". "
+                number = c == letter and word.replace(".", "").isdigit() and (text[at + 1 : at + 2].islower() or initial)
                 return (number or plain and word[-1].islower()) and at + 1 < end and not text[at + 1].isupper() and "/" not in text[max(start, a - len(whole) - 1) : a]
             return plain and letter.isalpha() and unicodedata.category(word[-1]) == "Lo"
         if not word:
