@@ -302,7 +302,7 @@ class Splitter:
             return bool(GREEK.match(last)) and gap and not letter.islower()
         starts = c == "{" or letter.isupper() or letter.isdigit() or (letter.isalpha() and not letter.islower())
         if "!" in run or "?" in run:
-            return c not in ",;:)]}" if gap else letter.isupper() and c == letter or (c in QUOTE_OPENERS and letter.isupper())
+            return c not in ",;:)]}" if gap else (letter.isupper() and c == letter) or unicodedata.category(c) == "Lo" or (c in QUOTE_OPENERS and letter.isupper())
         if len(run) > 1 or run == "…":
             return gap and starts and c not in ",;:)" and not letter.isdigit()
         if c in ",;:)]}-–—":
@@ -322,7 +322,7 @@ class Splitter:
                 initial = text[at + 1 : at + 3] == ". "
                 number = c == letter and word.replace(".", "").isdigit() and (text[at + 1 : at + 2].islower() or initial)
                 return (number or plain and word[-1].islower()) and at + 1 < end and not text[at + 1].isupper() and "/" not in text[max(start, a - len(whole) - 1) : a]
-            return plain and letter.isalpha() and unicodedata.category(word[-1]) == "Lo"
+            return plain and unicodedata.category(c) == "Lo"
         if not word:
             return True
         if word.isdigit():
