@@ -44,7 +44,8 @@ NUMBERED = regex.compile(r"[^\S\r\n]*\(?(?:\d{1,3}(?:\.\d{1,3})*|[a-zA-Z]|[ivxIV
 THAI = regex.compile(r"[ก-๿]")
 FOLLOWER = regex.compile(r"[\p{L}\p{M}]+")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
-THAI_BLANK = regex.compile(r"(?<=[ก-๿])[\s\p{Cf}]*\s[\s\p{Cf}]*(?=[ก-๿])")
+# between Thai letters, or between Thai and a run of other words that is too long for a name
+THAI_BLANK = regex.compile(r"(?<=[ก-๿])[\s\p{Cf}]*\s[\s\p{Cf}]*(?=[ก-๿]|[\p{Latin}\p{Cyrillic}'’-]+(?:\s+[\p{Latin}\p{Cyrillic}'’-]+){3})")
 GREEK = regex.compile(r"[\p{Greek}]")
 GERMAN = regex.compile(r"\b(?:der|die|das|den|und|wurde|nicht|ist|bei|von|auf|mit|ein|eine|aus)\b")
 NOT_GERMAN = regex.compile(r"\b(?:the|of|and|is|in|to|with|by|le|la|les|el|los|un|une|et|de|y|que)\b")
