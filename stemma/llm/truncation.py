@@ -26,7 +26,12 @@ BITS = 22
 STRENGTH = 12.0
 SHORTENED = regex.compile(r"(?:^|\s)(?:…|\.\.\.)$")
 DOTS = regex.compile(r"(?:…|\.\.\.)$")
-LABELLED_LIST = regex.compile(r"\s*\p{L}[\p{L} ]{2,20}[::]\s[^.!?。]*$")
+#: A label of keywords, misspelt or not, before text without the end of a sentence; any label and what follows it.
+KEYWORDS = regex.compile(r"\s*(?:(?:authors?'? )?(?:key ?-?words){e<=2}(?: and phrases)?|index terms|mots[- ]clés|schlüsselwörter|schlagwörter|palabras clave|ключевые слова|关键词|關鍵詞|キーワード)\s?[:：][^.!?。]*$", regex.IGNORECASE)
+LABELLED = regex.compile(r"\s*\p{L}[\p{L} ]{2,20}[:：]\s([^.!?。]*)$")
+COMMA = regex.compile(r"[,;，；、،]")
+#: Terms of a list, at least, and words of a term, at most.
+TERMS, WORDS = 3, 3
 DANGLING = regex.compile(r"(?:[(\[{«„“,/&\-–—]|&#?x?[0-9a-zA-Z]{0,8}|</?[a-zA-Z]{0,8}|�)+$")
 DIGITS = regex.compile(r"\p{N}")
 # Function words that tell Latin-script languages apart.
@@ -52,14 +57,24 @@ def language(text: str) -> str:
     return best if found & FUNCTION_WORDS[best] else "en"
 
 
-def prepare(text: str | None) -> tuple[str, bool] | None:
+def keyword_list(text: str) -> bool:
+    """Is it a list of keywords: under a label of keywords, or short terms between commas under any label?"""
+    if KEYWORDS.match(text):
+        return True
+    found = LABELLED.match(text)
+    terms = [t.casefold().split() for t in COMMA.split(found[1])] if found else []
+    return len(terms) >= TERMS and all(0 < len(t) <= WORDS and not any(w in words for w in t for words in FUNCTION_WORDS.values()) for t in terms)
+
+
+def prepare(text: str | None, field: str) -> tuple[str, bool] | None:
     """(text as the model sees it, dangling); None for values that are not judged.
 
-    Not judged: null and blank values, values shortened by the index (a blank and an ellipsis), labelled lists.
+    Not judged: null and blank values, values shortened by the index (a blank and an ellipsis), lists of keywords other
+    than titles ("Name: a method, a bound" is a title like any other).
     """
     t = text.rstrip() if text else ""
     end = t[-24:]
-    if not t or (end[-1] in "…." and SHORTENED.search(end)) or (":" in t[:24] or "：" in t[:24]) and LABELLED_LIST.match(t):
+    if not t or (end[-1] in "…." and SHORTENED.search(end)) or field != "title" and (":" in t[:32] or "：" in t[:32]) and keyword_list(t):
         return None
     between = " " if t[-1].isalnum() and text[len(t) :] == " " else ""  # cut between words; more white space is layout
     if end[-1] in "….":
@@ -181,7 +196,7 @@ def _at_limit(vals: DataFrame, limits: DataFrame) -> DataFrame:
 def _usable(batch: pa.RecordBatch, text_at: int, field_at: int) -> tuple[list[int], list[str], list[str], list[bool]]:
     rows, texts, strata, dangling = [], [], [], []
     for i, (value, field) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(field_at).to_pylist())):
-        found = prepare(value)
+        found = prepare(value, field)
         if found:
             rows.append(i)
             texts.append(found[0])
@@ -335,7 +350,7 @@ def truncated(rows: DataFrame, id_col: str = "seq", columns: tuple[str, ...] = (
     size in characters or in bytes, whichever is larger, drawn by ``trust`` values towards the share in the source, field and language. cut: posterior > threshold.
 
     - Null, empty and blank values, values shortened by the index itself (a blank and an ellipsis at the end) and
-      labelled lists such as keywords are not judged and have no row.
+      lists of keywords other than titles are not judged and have no row.
     - Repeated rows are judged each; equal values of one record (column ``group``, else the row) teach the model once,
       and values whose length may be a field limit teach it only how texts go on. A null source is a source of its own.
     - Values are read whole. An empty table gives no rows. Other columns are not read.

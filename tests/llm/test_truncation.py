@@ -51,6 +51,22 @@ def test_defined_cases(judged):
     assert by[90_004] and by[90_005]
 
 
+def test_titles_with_a_name_are_judged(spark):
+    rnd = random.Random(6)
+    rows = [(i, f"h{i}", f"{rnd.choice(['Fazi', 'Nige', 'Popu'])}{rnd.choice(['ho', 'zu', 'ta'])}: {make(rnd, i)[0].lower()}", make(rnd, i)[1], "crawl", 1, "x") for i in range(1500)]
+    cut = {100: 3, 400: 4, 700: 5, 1000: 6, 1300: 3}
+    rows = [(i, h, title[: -cut[i]] if i in cut else title, *rest) for i, h, title, *rest in rows]
+    found = [r for r in tr.truncated(spark.createDataFrame(rows, SCHEMA)).filter("field = 'title'").collect()]
+    assert len(found) == 1500 and {r.id for r in found if r.cut} == set(cut)
+
+
+def test_only_keyword_lists_are_exempt():
+    lists = ("Keywords: graph models, query planning", "\n Keyowrds: label noise, video retrieval", "Topics: graph models, query planning, label noise", "关键词：模型，数据")
+    assert not any(tr.prepare(t, "snippet") for t in lists)
+    assert all(tr.prepare(t, "title") for t in lists)
+    assert all(tr.prepare(t, "snippet") for t in ("Background: we study graph mo", "Results: stable, robust, and for the fas", "Networks: a survey of graph models"))
+
+
 def test_rates(judged):
     _, out, df = judged
     rates = {(r.source, r.field): r for r in tr.truncation_rates(tr.truncated(df), df).collect()}
