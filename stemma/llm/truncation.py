@@ -1,9 +1,9 @@
 """Text cut off by field limits or in transfer.
 
 A backward character n-gram model compares, for the last characters of each value, how often that context ends a value
-with how often a text goes on after it, backing off from long to short contexts. Contexts are hashed into a table of
-fixed size, so the model is bounded however large the collection; it is trained on all values. A second round leaves
-values judged cut out of the counts of ends. Each log-odds is set against the share of cut values among those of the
+with how often a text goes on after it, backing off from long to short contexts. Counts are kept by a 64-bit hash of
+language and column, order and context in distributed tables, and the ends of the values are joined to them; the model
+is trained on all values. A second round leaves values judged cut out of the counts of ends. Each log-odds is set against the share of cut values among those of the
 same language, column, source and length: a field limit shows as a length at which most values are cut.
 """
 
@@ -20,8 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stemma.session import cut_lineage
 
 ORDERS = (1, 2, 4, 6, 9, 13, 18)
-#: Buckets of the hashed model; what reaches the driver is at most this many pairs of counts.
-BITS = 22
+#: Bits of the filter before the counts for each context that ends a value, and the powers of two its size stays between;
+#: a filter too small lets contexts through that the join then drops. Slots in which a task adds up counts, a power of two.
+FILTER_BITS, FILTER, SLOTS = 16, (20, 29), 21
+#: Keys of more than 1 / HOT of the rows are joined in so many parts.
+HOT, PARTS = 1000, 64
 #: What the shorter context weighs against the counts of the longer one.
 STRENGTH = 12.0
 SHORTENED = regex.compile(r"(?:^|\s)(?:…|\.\.\.)$")
@@ -94,7 +97,7 @@ def _salt(stratum: str) -> np.uint64:
 
 
 def contexts(texts: list[str], strata: list[str], ends_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, owner) for each order: of the contexts that end a text, or of all those after which it goes on."""
+    """(key, owner) for each order: of the contexts that end a text, or of all those after which it goes on."""
     longest = max(ORDERS)
     texts = ["\x02" + t[-longest:] if ends_only else "\x02" + t for t in texts]
     lengths = np.array([len(t) for t in texts])
@@ -102,6 +105,7 @@ def contexts(texts: list[str], strata: list[str], ends_only: bool) -> Iterator[t
     ends = np.cumsum(lengths) - 1
     names, which = np.unique(np.array(strata), return_inverse=True)
     x += np.repeat(np.array([_salt(n) for n in names], dtype=np.uint64)[which], lengths)  # the same letters differ by stratum
+    _mix(x)
     if not ends_only:
         place = np.arange(len(x), dtype=np.int32) - np.repeat((ends - lengths + 1).astype(np.int32), lengths)
         place[ends] = -1
@@ -115,42 +119,19 @@ def contexts(texts: list[str], strata: list[str], ends_only: bool) -> Iterator[t
         if k in ORDERS:
             least = max(1, k - 1)
             owner = np.flatnonzero(lengths > least) if ends_only else np.flatnonzero(place >= least)
-            mixed = h[ends[owner] if ends_only else owner]
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= np.uint64(0x94D049BB133111EB)
-            yield (mixed >> np.uint64(64 - BITS)).astype(np.int64), owner
+            key = h[ends[owner] if ends_only else owner]
+            key += np.uint64(k)
+            _mix(key)
+            yield key.view(np.int64), owner
 
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Model:
-    """Counts of ends and of continuations by bucket, and their totals by stratum (language and column)."""
-
-    def __init__(self, ends: dict[int, int], goes_on: dict[int, int], totals: dict[str, tuple[float, float]]):
-        self.keys = np.array(sorted(ends), dtype=np.int64)
-        self.ends = np.array([ends[k] for k in self.keys.tolist()], dtype=np.float64)
-        self.goes_on = np.array([goes_on.get(k, 0) for k in self.keys.tolist()], dtype=np.float64)
-        self.totals = totals
-
-    def odds(self, ends: list[tuple[np.ndarray, np.ndarray]], strata: list[str], counted: np.ndarray) -> np.ndarray:
-        """log(P(context | goes on) / P(context | ends)) of each text's end; counted: is it in the counts of ends itself?
-
-        ends: the ``contexts`` of the ends of the texts.
-        """
-        all_ends = np.array([self.totals.get(s, (1.0, 1.0))[0] for s in strata])
-        all_on = np.array([self.totals.get(s, (1.0, 1.0))[1] for s in strata])
-        share = np.full(len(strata), 0.5)  # of ends, were both as frequent
-        for bucket, owner in ends:
-            at = np.minimum(np.searchsorted(self.keys, bucket), max(0, len(self.keys) - 1))
-            hit = self.keys[at] == bucket if len(self.keys) else np.zeros(len(bucket), bool)
-            e = np.where(hit, self.ends[at], 0.0) - counted[owner]
-            c = np.where(hit, self.goes_on[at], 0.0)
-            e, c = np.maximum(e, 0) / all_ends[owner], c / all_on[owner]
-            weight = STRENGTH / all_on[owner]
-            share[owner] = (e + weight * share[owner]) / (e + c + weight)
-        share = np.clip(share, 1e-9, 1 - 1e-9)
-        return np.log1p(-share) - np.log(share)
+def _mix(x: np.ndarray) -> None:
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
 
 
 #: A length at which so many texts end as SPIKE times its neighbours' mean (and LEAST at least) may be a field limit.
@@ -187,7 +168,7 @@ def field_limits(vals: DataFrame) -> DataFrame:
 
 def _at_limit(vals: DataFrame, limits: DataFrame) -> DataFrame:
     """vals with limit: does the value's size look like a limit of its field?"""
-    one = lambda unit, name: limits.filter(F.col("unit") == unit).select("field", F.col("size").alias(name), F.lit(True).alias(f"_{unit}"))
+    one = lambda unit, name: F.broadcast(limits.filter(F.col("unit") == unit).select("field", F.col("size").alias(name), F.lit(True).alias(f"_{unit}")))  # noqa: E731  # a few sizes
     sized = vals.withColumns({"_length": F.length("value").cast("long"), "_octets": F.octet_length("value").cast("long")})
     hit = sized.join(one("c", "_length"), ["field", "_length"], "left").join(one("b", "_octets"), ["field", "_octets"], "left")
     return hit.select("id", "source", "grp", "field", "value", (F.col("_c").isNotNull() | (F.col("_b").isNotNull() & (F.col("_octets") != F.col("_length")))).alias("limit"))
@@ -228,100 +209,138 @@ def _pieces(texts: list[str], most: int = 500_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def _summed(counts: DataFrame) -> tuple[dict[int, int], dict[str, int]]:
-    """Counts by bucket, and by stratum under "/<stratum>"; at most 2 ** BITS buckets reach the driver."""
-    buckets, totals = {}, {}
-    for r in counts.groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-        if r.k[0] == "/":
-            totals[r.k[1:]] = r.n
-        else:
-            buckets[int(r.k)] = r.n
-    return buckets, totals
+def _look_up(rows: DataFrame, found: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """rows joined to found, which has a row for each key and how many of total rows have it; those of hot keys are dealt out by ``by``."""
+    hot = F.col("n_rows") > max(1, total / HOT)
+    parts = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("_part")
+    dealt = rows.join(F.broadcast(found.filter(hot).select(key, F.lit(True).alias("_hot"))), key, "left")  # HOT keys an order at most
+    dealt = dealt.withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(0).cast("int"))
+    return dealt.join(found.select("*", parts), [key, "_part"]).drop("_part", "_hot", "n_rows")
 
 
-def _count_ends(vals: DataFrame, first: Model | None) -> tuple[dict[int, int], dict[str, int]]:
-    """Ends by bucket and by stratum, 0 for buckets of none that counts: ends at a field limit, and in the second round
-    those that the first judged cut, do not."""
-    shared = vals.sparkSession.sparkContext.broadcast(first)
+def _end_contexts(ends: DataFrame) -> DataFrame:
+    """(end, stratum, n, order, k): the contexts of each end."""
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, strata = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not texts:
+            if not batch.num_rows:
                 continue
-            ends = list(contexts(texts, strata, ends_only=True))
-            free = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            keep = free & (shared.value.odds(ends, strata, free.astype(float)) < 1) if shared.value else free
-            buckets, at = np.unique(np.concatenate([bucket for bucket, _ in ends]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([keep[owner] for _, owner in ends])).astype(np.int64)
-            names, sums = np.unique(np.array(strata)[keep], return_counts=True)
-            keys = [str(b) for b in buckets.tolist()] + ["/" + x for x in names.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n.tolist() + sums.tolist(), pa.int64())], ["k", "n"])
+            for order, (key, owner) in zip(ORDERS, contexts(batch.column(3).to_pylist(), batch.column(1).to_pylist(), ends_only=True)):
+                end, stratum, n = (batch.column(i).take(pa.array(owner)) for i in range(3))
+                yield pa.RecordBatch.from_arrays([end, stratum, n, pa.array(np.full(len(owner), order, np.int32)), pa.array(key)], ["end", "stratum", "n", "order", "k"])
+
+    return ends.select("end", "stratum", "n", "tail").mapInArrow(run, "end bigint, stratum string, n bigint, order int, k bigint")
+
 
-    return _summed(vals.select(F.right("text", F.lit(max(ORDERS))), "stratum", "limit").mapInArrow(tails, "k string, n bigint"))
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits that are set for the first bits of the n keys; the driver holds 2 ** FILTER[1] of them at most."""
+    width = min(max((FILTER_BITS * n).bit_length(), FILTER[0]), FILTER[1])
+    place = F.shiftrightunsigned("k", 64 - width) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros(1 << width - 3, dtype=np.uint8)
+    for r in maps.toLocalIterator():
+        bits[(r["at"] - 1) * len(r["bits"]) :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return bits
 
 
-def _count_continuations(vals: DataFrame, wanted: dict[int, int]) -> tuple[dict[int, int], dict[str, int]]:
-    """How often a text goes on after a context, for the buckets of contexts that end some value."""
-    keys = np.array(sorted(wanted), dtype=np.int64)
-    shared = vals.sparkSession.sparkContext.broadcast(keys)
+def _continuations(once: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(k, c): how often a text goes on after a context, for all contexts that end some value, and for others that pass the filter."""
+    shared = once.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        flags = np.zeros(1 << BITS, dtype=bool)
-        flags[keys] = True
-        slot = np.zeros(1 << BITS, dtype=np.int32)
-        slot[keys] = np.arange(len(keys))
-        sums = np.zeros(len(keys), dtype=np.int64)
-        totals: dict[str, int] = {}
+        bits = shared.value
+        shift = np.uint64(64 - (len(bits).bit_length() + 2))
+        held, sums = np.zeros(1 << SLOTS, dtype=np.int64), np.zeros(1 << SLOTS, dtype=np.int64)  # each slot counts the first key that comes
+        rest, size = [], 0
+        pair = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["k", "c"])
         for batch in batches:
             texts, strata = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s in _pieces(texts):
-                found = [slot[bucket[flags[bucket]]] for bucket, _ in contexts(texts[s], strata[s], ends_only=False)]
-                sums += np.bincount(np.concatenate(found), minlength=len(keys))
-                for name, text in zip(strata[s], texts[s]):
-                    totals[name] = totals.get(name, 0) + len(text)
-        at = np.flatnonzero(sums)
-        names = [str(k) for k in keys[at].tolist()] + ["/" + n for n in totals]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums[at].tolist() + list(totals.values()), pa.int64())], ["k", "n"])
-
-    return _summed(vals.select("text", "stratum").mapInArrow(count, "k string, n bigint"))
-
-
-def train(vals: DataFrame) -> tuple[Model, Model]:
-    """The models of both rounds. vals: the rows of ``prepared``, each text of a record once."""
-    ends, n_ends = _count_ends(vals, None)
-    goes_on, n_on = _count_continuations(vals, ends)
-    both = lambda n: {s: (float(max(1, n.get(s, 1))), float(max(1, n_on.get(s, 1)))) for s in n_ends}
-    first = Model(ends, goes_on, both(n_ends))
-    again, n_again = _count_ends(vals, first)
-    return first, Model({k: again.get(k, 0) for k in ends}, goes_on, both(n_again))
-
-
-def log_odds(vals: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """(id, source, field, lang, length, octets, odds) of every value that is judged."""
-    shared = vals.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                counted = []
+                for key, _ in contexts(texts[s], strata[s], ends_only=False):
+                    at = key.view(np.uint64) >> shift
+                    key = key[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    slot = (key.view(np.uint64) >> np.uint64(64 - SLOTS)).astype(np.int64)
+                    new = np.flatnonzero(held[slot] == 0)
+                    held[slot[new]] = key[new]
+                    same = held[slot] == key
+                    counted.append(slot[same])
+                    rest.append(key[~same])
+                    size += len(rest[-1])
+                sums += np.bincount(np.concatenate(counted), minlength=len(sums))
+                if size > 1 << SLOTS:
+                    yield pair(*np.unique(np.concatenate(rest), return_counts=True))
+                    rest, size = [], 0
+        used = np.flatnonzero(sums)
+        yield pair(held[used], sums[used])
+        if size:
+            yield pair(*np.unique(np.concatenate(rest), return_counts=True))
+
+    return once.select("text", "stratum").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
+
+
+def _odds(counted: Column) -> Column:
+    """log(P(context | goes on) / P(context | ends)) of an end from its steps (order, k, c, e); counted: its own share of e."""
+    weight = F.lit(STRENGTH) / F.col("all_on")
+
+    def back_off(share: Column, s: Column) -> Column:
+        e, c = F.greatest(s["e"] - counted, F.lit(0)) / F.col("all_ends"), s["c"] / F.col("all_on")
+        return (e + weight * share) / (e + c + weight)
+
+    share = F.greatest(F.least(F.aggregate("steps", F.lit(0.5), back_off), F.lit(1 - 1e-9)), F.lit(1e-9))  # 0.5: were both as frequent
+    return F.log1p(-share) - F.log(share)
+
+
+def train(once: DataFrame) -> tuple[DataFrame, int]:
+    """(end, free, limited, n_rows) with the log-odds of every end of a value, away from a field limit and at one, and the
+    number of values. once: the rows of ``prepared``, each text of a record once.
+
+    In counts of ends, those at a field limit count 0, and in the second round those that the first judged cut.
+    """
+    tail = F.right("text", F.lit(max(ORDERS))).alias("tail")
+    ends = once.groupBy("stratum", tail).agg(F.sum(F.when(F.col("limit"), 0).otherwise(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("n_rows"))
+    ends = cut_lineage(ends.withColumn("end", F.xxhash64("stratum", "tail")))
+    n_ends, n_values = ends.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    each = cut_lineage(_end_contexts(ends))
+    wanted = each.groupBy("k").agg(F.sum("n").alias("e"), F.count("*").alias("n_rows"))
+    bits = _filter(wanted.select("k"), wanted.count())
+    counts = wanted.join(_continuations(once, bits), "k", "left").select("k", "e", F.coalesce("c", F.lit(0)).alias("c"), "n_rows")
+    steps = F.sort_array(F.collect_list(F.struct("order", "k", "c", "e"))).alias("steps")  # one an order
+    least = lambda c: F.greatest(F.sum(c), F.lit(1)).cast("double")
+    totals = F.broadcast(ends.groupBy("stratum").agg(least("n").alias("all_ends"), least("chars").alias("all_on")))  # languages and columns
+    first = _look_up(each, cut_lineage(counts), "k", "end", n_ends).groupBy("end", "stratum", "n").agg(steps).join(totals, "stratum")
+    first = cut_lineage(first.withColumn("whole", _odds(F.lit(1)) < 1).withColumn("kept", F.when(F.col("whole"), F.col("n")).otherwise(0)))
+    again = first.select("end", "stratum", "whole", "kept", F.explode("steps").alias("s")).select("end", "stratum", "whole", "kept", "s.order", "s.k", "s.c")
+    ends_again = cut_lineage(again.groupBy("k").agg(F.sum("kept").alias("e"), F.count("*").alias("n_rows")))
+    totals = F.broadcast(first.groupBy("stratum").agg(least("kept").alias("all_ends"), F.max("all_on").alias("all_on")))
+    second = _look_up(again, ends_again, "k", "end", n_ends).groupBy("end", "stratum", "whole").agg(steps).join(totals, "stratum")
+    odds = second.select("end", _odds(F.col("whole").cast("int")).alias("free"), _odds(F.lit(0)).alias("limited"))
+    return cut_lineage(odds.join(ends.select("end", "n_rows"), "end")), n_values
+
+
+def log_odds(vals: DataFrame, ends: DataFrame, n_values: int) -> DataFrame:
+    """(id, source, field, lang, length, octets, odds) of every value that is judged. ends, n_values: from ``train``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        first, second = shared.value
         for batch in batches:
             rows, texts, strata, dangling = _usable(batch, 3, 2)
             if not rows:
                 continue
-            free = ~batch.column(4).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(bool)
-            ends = list(contexts(texts, strata, ends_only=True))
-            whole = free & (first.odds(ends, strata, free.astype(float)) < 1)
-            odds = second.odds(ends, strata, whole.astype(float)) + np.where(dangling, DANGLES, [-TERMINATED if TERMINATOR.search(t) else 0.0 for t in texts])
             at = pa.array(rows)
-            original = batch.column(3).take(at)
+            one, source, field, original, limit = (c.take(at) for c in batch.columns)
+            sign = np.where(dangling, DANGLES, [-TERMINATED if TERMINATOR.search(t) else 0.0 for t in texts])
+            tails = pa.array([t[-max(ORDERS) :] for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([s.split("/")[1] for s in strata], pa.string()), pc.utf8_length(original).cast(pa.int64()), pc.binary_length(original).cast(pa.int64()), pa.array(odds, pa.float64())],
-                ["id", "source", "field", "lang", "length", "octets", "odds"],
+                [one, source, field, pa.array([s.split("/")[1] for s in strata], pa.string()), pc.utf8_length(original).cast(pa.int64()), pc.binary_length(original).cast(pa.int64()), limit, pa.array(strata, pa.string()), tails, pa.array(sign, pa.float64())],
+                ["id", "source", "field", "lang", "length", "octets", "limit", "stratum", "tail", "sign"],
             )
 
-    return vals.select("id", "source", "field", "value", "limit").mapInArrow(score, "id bigint, source string, field string, lang string, length bigint, octets bigint, odds double")
+    judged = vals.select("id", "source", "field", "value", "limit").mapInArrow(read, "id bigint, source string, field string, lang string, length bigint, octets bigint, limit boolean, stratum string, tail string, sign double")
+    judged = judged.withColumn("end", F.xxhash64("stratum", "tail")).drop("stratum", "tail")
+    odds = F.when(F.col("limit"), F.col("limited")).otherwise(F.col("free")) + F.col("sign")
+    return _look_up(judged, ends, "end", "id", n_values).select("id", "source", "field", "lang", "length", "octets", odds.alias("odds"))
 
 
 #: Log-odds that a terminator at the end takes away: rare last words say little against it.
@@ -356,9 +375,9 @@ def truncated(rows: DataFrame, id_col: str = "seq", columns: tuple[str, ...] = (
     - Values are read whole. An empty table gives no rows. Other columns are not read.
     """
     vals = values(rows, id_col, columns, source, group)
-    vals = _at_limit(vals, field_limits(vals))
+    vals = _at_limit(vals, cut_lineage(field_limits(vals)))
     once = cut_lineage(prepared(vals.select("grp", "field", "value", "limit").dropDuplicates(["grp"])))
-    scored = cut_lineage(log_odds(vals, train(once)).withColumn("src", F.coalesce("source", F.lit("\0"))))
+    scored = cut_lineage(log_odds(vals, *train(once)).withColumn("src", F.coalesce("source", F.lit("\0"))))
     step = F.round(F.least(F.greatest("odds", F.lit(-12.0)), F.lit(12.0)))
     keys = ["src", "field", "lang", "length", "octets"]
     cells = scored.groupBy(*keys, step.alias("step")).agg(F.count("*").alias("n"))

@@ -67,6 +67,23 @@ def test_only_keyword_lists_are_exempt():
     assert all(tr.prepare(t, "snippet") for t in ("Background: we study graph mo", "Results: stable, robust, and for the fas", "Networks: a survey of graph models"))
 
 
+def test_counts_are_of_contexts_not_of_buckets(spark):
+    rnd = random.Random(7)
+    tails = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=18)) for _ in range(20_000)]
+    key = [k for k, _ in tr.contexts(tails, ["title/en"] * len(tails), ends_only=True)][-1]
+    assert len(set(key.tolist())) == len(set(tails))
+    texts = [make(rnd, i)[1].casefold() for i in range(200)]
+    once = spark.createDataFrame([(t, "snippet/en", False) for t in texts], "text string, stratum string, limit boolean")
+    want = {}
+    for k in tr.ORDERS:
+        for end in {("\x02" + t)[-k:] for t in texts}:
+            want[k, end] = sum(("\x02" + t)[:-1].startswith(end, i) for t in texts for i in range(len(t)))
+    ends = {e: [k for k, _ in tr.contexts([e.lstrip("\x02")], ["snippet/en"], ends_only=True)][tr.ORDERS.index(n)][0] for n, e in want}
+    bits = tr._filter(spark.createDataFrame([(int(k),) for k in ends.values()], "k long"), len(ends))
+    got = {r.k: r.c for r in tr._continuations(once, bits).collect()}
+    assert {(n, e): got.get(ends[e], 0) for n, e in want} == want
+
+
 def test_rates(judged):
     _, out, df = judged
     rates = {(r.source, r.field): r for r in tr.truncation_rates(tr.truncated(df), df).collect()}
