@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from stemma.session import cut_lineage
+
 # Well-known abbreviations that do not end a sentence.
 BEFORE_NAMES_AND_NUMBERS = frozenset(
     """mr mrs ms dr prof st messrs rev hon gen col capt lt sgt fig figs sec secs sect tab tabs thm thms eq eqs eqn ch chap
@@ -50,7 +52,8 @@ GREEK = regex.compile(r"[\p{Greek}]")
 GERMAN = regex.compile(r"\b(?:der|die|das|den|und|wurde|nicht|ist|bei|von|auf|mit|ein|eine|aus)\b")
 NOT_GERMAN = regex.compile(r"\b(?:the|of|and|is|in|to|with|by|le|la|les|el|los|un|une|et|de|y|que)\b")
 VOWELS = frozenset("aeiouyáéíóúàèìòùâêîôûäëïöüаеёиоуыэюяαεηιουωάέήίόύώ")
-#: A word kept by the corpus count makes up at least this share of all words with a full stop, so at most 1 / LEAST_SHARE are kept.
+#: Words that make up at least this share of all words with a full stop, 1 / LEAST_SHARE at most, are known to every worker; the
+#: verdicts of others are joined to the texts that have them.
 LEAST_SHARE = 1e-5
 
 
@@ -59,8 +62,10 @@ def dot_evidence(text: str) -> dict[str, list[int]]:
     seen: dict[str, list[int]] = {w: [n, 0, 0, 0] for w, n in Counter(LETTERS.findall(text.lower())).items() if len(w) <= 12}
     at = text.find(".")
     while at >= 0:
-        word = last_word(text, max(0, at - 14), at).lower()
-        if word and len(word) <= 12 and not any(c.isdigit() for c in word):
+        whole = last_word(text, max(0, at - 14), at).lower()
+        for word in {whole[i:] for i in range(len(whole)) if not i or not _in_word(whole[i - 1]) and _in_word(whole[i])}:  # l'art. is art. too
+            if len(word) > 12 or any(c.isdigit() for c in word):
+                continue
             rest = text[at + 1 : at + 60]
             after = rest.lstrip()
             gap = rest[: len(rest) - len(after)]
@@ -76,13 +81,42 @@ def dot_evidence(text: str) -> dict[str, list[int]]:
     return seen
 
 
-def word_evidence(text: str, lower: str, word: str) -> tuple[int, int, int, int]:
-    """The same of a single word; lower: the text in lower case."""
+def dotted_words(text: str) -> set[str]:
+    """The words before full stops on which a text may need the verdict of the corpus."""
+    found, at = set(), text.find(".")
+    while at >= 0:
+        word = last_word(text, max(0, at - 14), at).lower().replace("’", "'")
+        found |= {w for w in (word, word.rpartition("'")[2]) if w and len(w) <= 12 and not any(c.isdigit() for c in w)}
+        at = text.find(".", at + 1)
+    return found
+
+
+def run_places(lower: str) -> dict[str, list[int]]:
+    """Where each run of letters, digits and marks begins."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for m in RUN.finditer(lower):
+        places[m.group()].append(m.start())
+    return places
+
+
+def word_evidence(text: str, lower: str, word: str, places: dict[str, list[int]] | None = None) -> tuple[int, int, int, int]:
+    """The same of a single word; lower: the text in lower case; places: its ``run_places``, instead of a search."""
     bare = dotted = goes_on = ends = 0
-    at = lower.find(word)
+    head = RUN.match(word) if places is not None else None
+    known = iter(places.get(head.group(), ())) if head else None
+    after_last = 0
+
+    def following(begin: int) -> int:
+        if known is None:
+            return lower.find(word, begin)
+        return next((i for i in known if i >= begin and lower.startswith(word, i)), -1)
+
+    at = following(0)
     while at >= 0:
         end = at + len(word)
+        after_last = at + 1
         if (not at or not _in_word(lower[at - 1])) and (end == len(lower) or not _in_word(lower[end])):
+            after_last = end
             if lower[end : end + 1] != ".":
                 bare += 1
             else:
@@ -95,10 +129,13 @@ def word_evidence(text: str, lower: str, word: str) -> tuple[int, int, int, int]
                 elif gap or after[0] in ",;:":
                     dotted += 1
                     goes_on += after[0] in ",;:" or (after[0].islower() and len(text) == len(lower))
-        at = lower.find(word, end)
+        at = following(after_last)
     return bare, dotted, goes_on, ends
 
 
+RUN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+
+
 def _in_word(c: str) -> bool:
     return c.isalnum() or unicodedata.category(c)[0] == "M"
 
@@ -169,7 +206,7 @@ def protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 ASIDE = regex.compile(r"(?:\[[^\]\s]{1,20}\]|<[^>\s]{1,20}>)\s")
-#: Documents of more characters are read once for the evidence on all words, others for each doubtful word.
+#: Documents of more characters are read once for the places of all words, others for each doubtful word; the evidence is the same.
 LONG = 20_000
 
 
@@ -185,6 +222,7 @@ class Splitter:
             return []
         self.text, self.lang = text, (lang or "").lower()[:2]
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.places: dict[str, list[int]] | None = None
         self.lower, self.thai = text.lower(), bool(THAI.search(text))
         self.names: tuple[set[str], set[str]] | None = None
         out: list[tuple[int, int]] = []
@@ -363,11 +401,11 @@ class Splitter:
         return len(word) > 5 or (len(word) > 3 and low[-1] in VOWELS) or self.corpus.get(low) == "W" or self._evidence(low)[0] > 0
 
     def _evidence(self, low: str) -> tuple[int, int, int, int]:
-        """What this document says about a word; a long document is read once for all its words."""
-        if len(self.text) > LONG and not self.seen:
-            self.seen = {w: tuple(r) for w, r in dot_evidence(self.text).items()}
+        """What this document says about a word."""
+        if len(self.text) > LONG and self.places is None:
+            self.places = run_places(self.lower)
         if low not in self.seen:
-            self.seen[low] = (0, 0, 0, 0) if len(self.text) > LONG else word_evidence(self.text, self.lower, low)
+            self.seen[low] = word_evidence(self.text, self.lower, low, self.places)
         return self.seen[low]
 
     def _kind(self, word: str) -> str:
@@ -387,8 +425,9 @@ class Splitter:
         return "" if known == "W" else known
 
 
-def corpus_abbreviations(texts: DataFrame, text_col: str = "text", sure: int = 5) -> dict[str, str]:
-    """Verdicts from the counts over all texts for words seen with a full stop; at most 1 / LEAST_SHARE reach the driver."""
+def corpus_abbreviations(texts: DataFrame, text_col: str = "text", sure: int = 5, least_share: float = LEAST_SHARE) -> tuple[dict[str, str], DataFrame]:
+    """Verdicts from the counts over all texts for words seen with a full stop: of frequent words, at most 1 / least_share,
+    and (word, verdict) of all others with enough evidence."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
@@ -412,12 +451,35 @@ def corpus_abbreviations(texts: DataFrame, text_col: str = "text", sure: int = 5
 
     counted = texts.select(text_col).mapInArrow(count, "word string, bare bigint, dotted bigint, goes_on bigint, ends bigint")
     sums = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("bare", "dotted", "goes_on", "ends")))
-    sums = sums.filter(F.col("dotted") >= sure)
-    kept = sums.crossJoin(F.broadcast(sums.agg(F.sum("dotted").alias("total")))).filter(F.col("dotted") >= F.col("total") * LEAST_SHARE)
-    return {r.word: verdict((r.bare, r.dotted, r.goes_on, r.ends), sure) for r in kept.collect()}
+    sums = cut_lineage(sums.filter(F.col("dotted") >= sure))
+    total = sums.agg(F.sum("dotted")).first()[0] or 0
+    frequent = F.col("dotted") >= total * least_share
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, *rows = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([verdict(r, sure) for r in zip(*rows)], pa.string())], ["word", "verdict"])
+
+    verdicts = lambda some: sums.filter(some).mapInArrow(judged, "word string, verdict string").filter("verdict <> ''")
+    return {r.word: r.verdict for r in verdicts(frequent).collect()}, verdicts(~frequent)
+
+
+def with_rare(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """rows (doc_id, text, lang) with words: [(word, verdict)] of the rare words before full stops in the text, or null."""
+    key = [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit("#"), "text").alias("_k2")]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dotted_words(t or "") for t in batch.column(2).to_pylist()]
+            at = pa.array([i for i, ws in enumerate(found) for _ in ws], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([w for ws in found for w in ws], pa.string())], ["_k1", "_k2", "word"])
+
+    used = rows.select(*key, "text").mapInArrow(words, "_k1 bigint, _k2 bigint, word string").join(rare, "word")
+    own = used.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("word", "verdict")).alias("words"))
+    return rows.select("*", *key).join(own, ["_k1", "_k2"], "left").select("doc_id", "text", "lang", "words")
 
 
-def sentences(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def sentences(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, start_char, end_char): one row a sentence; offsets in code points, without surrounding white space.
 
     - Null, empty and blank texts have no rows; of all others every visible character is in exactly one sentence.
@@ -427,17 +489,20 @@ def sentences(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lang = F.col(lang_col) if lang_col else F.lit(None)
     rows = texts.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), lang.cast("string").alias("lang"))
-    corpus = corpus_abbreviations(rows)
+    corpus, rare = corpus_abbreviations(rows, least_share=least_share)
+    rows = rows.filter("text is not null")
+    rows = rows.withColumn("words", F.lit(None).cast("array<struct<word:string,verdict:string>>")) if rare.isEmpty() else with_rare(rows, rare)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(corpus)
         for batch in batches:
             ids, starts, ends = [], [], []
-            for key, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, text, lang, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                splitter.corpus = ChainMap({w["word"]: w["verdict"] for w in words}, corpus) if words else corpus
                 for a, b in splitter.spans(text, lang):
                     ids.append(key)
                     starts.append(a)
                     ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "start_char", "end_char"])
 
-    return rows.filter("text is not null").mapInArrow(split, "doc_id bigint, start_char bigint, end_char bigint")
+    return rows.mapInArrow(split, "doc_id bigint, start_char bigint, end_char bigint")

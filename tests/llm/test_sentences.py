@@ -66,3 +66,24 @@ def test_table(spark):
     assert sorted((r.start_char, r.end_char) for r in got if r.doc_id == 1) == [(0, 4), (5, 9)]
     assert {r.doc_id for r in got} == {1, 5, 6, None} and sum(r.doc_id == 6 for r in got) == 4
     assert sn.sentences(df.limit(0)).count() == 0
+
+
+def test_rare_words_keep_their_verdict(spark):
+    rows = [(i, f"We saw the qzt. {'paper' if i % 2 else 'table'} here.", "en") for i in range(8)] + [(100 + i, "It ends. " * 50, "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    corpus, rare = sn.corpus_abbreviations(df, least_share=0.1)
+    assert "qzt" not in corpus and "qzt" in {r.word for r in rare.collect()}
+    everywhere, _ = sn.corpus_abbreviations(df, least_share=0.0)
+    assert corpus | {r.word: r.verdict for r in rare.collect()} == everywhere
+    few, all_ = (sorted(map(tuple, sn.sentences(df, least_share=s).collect())) for s in (0.1, 0.0))
+    assert few == all_
+
+
+def test_evidence_does_not_depend_on_length():
+    text = "Voir l'éq. 3 du texte, un éq seul et in-proc. ici, cf. l'éq. de base. Une équation, a.a.a. et d. h. fin. "
+    for word in ("éq", "proc", "in-proc", "l'éq", "a.a", "h", "cf"):
+        assert sn.word_evidence(text, text.lower(), word, sn.run_places(text.lower())) == sn.word_evidence(text, text.lower(), word)
+    long = sn.Splitter()
+    list(long.spans(text * (sn.LONG // len(text) + 2), "fr"))
+    assert long._evidence("éq") == sn.word_evidence(long.text, long.lower, "éq") and long._evidence("éq")[1] > 0
+    assert tuple(sn.dot_evidence(text)["éq"][:2]) == sn.word_evidence(text, text.lower(), "éq")[:2]
