@@ -38,7 +38,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_values(spark: SparkSession, root: str) -> DataFrame:
-    return sur.true_values(table(spark, root, "papers")).withColumnRenamed("grp", "hash")
+    return sur.true_values(table(spark, root, "papers"), texts=("snippet",), counts=("citations",)).withColumnRenamed("grp", "hash")
 
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:

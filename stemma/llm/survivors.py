@@ -90,11 +90,22 @@ def survivors(
     return kept.select(group, "n_rows", pick("_text").alias("text_row"), pick("_count").alias("count_row"), *(pick(f"_{r}").alias(f"{r}_row") for r in refs))
 
 
-def facts(rows: DataFrame, group: str, source: str, fields: tuple[str, ...]) -> DataFrame:
-    """(grp, field, value, asserted ARRAY, silent ARRAY): who asserts each value, and who saw the group without it."""
+def facts(rows: DataFrame, group: str, source: str, fields: tuple[str, ...], texts: tuple[str, ...] = (), counts: tuple[str, ...] = ()) -> DataFrame:
+    """(grp, field, value, asserted ARRAY, silent ARRAY): who asserts each value, and who saw the group without it.
+
+    fields: references, of which 0 is no value; texts: without surrounding white space, empty ones and stand-ins are no
+    value; counts: negative ones are no value. value is a BIGINT, or with texts a STRING.
+    """
+    kind = "string" if texts else "bigint"
+    rows, every = rows.filter(F.col(group).isNotNull()), rows
+    value = {f: F.nullif(F.col(f).cast("bigint"), F.lit(0)) for f in fields} | {c: F.when(F.col(c) >= 0, F.col(c).cast("bigint")) for c in counts}
+    for t in texts:
+        found = F.broadcast(stand_ins(every, group, F.col(t)).withColumn(f"_standin_{t}", F.lit(True)))
+        rows = rows.withColumns({name: c for name, c in zip(("_k1", "_k2"), _text_key(stripped(F.col(t))))}).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+        value[t] = F.when((F.length(stripped(F.col(t))) > 0) & F.col(f"_standin_{t}").isNull(), stripped(F.col(t)))
     named = F.coalesce(F.col(source), F.lit("(none)"))
-    claims = rows.filter(F.col(group).isNotNull()).select(
-        F.col(group).alias("grp"), named.alias("src"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.nullif(F.col(f).cast("bigint"), F.lit(0)).alias("value")) for f in fields))).alias("c")
+    claims = rows.select(
+        F.col(group).alias("grp"), named.alias("src"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), v.cast(kind).alias("value")) for f, v in value.items()))).alias("c")
     )
     claims = claims.select("grp", "src", "c.field", "c.value").filter("value is not null").distinct()
     asserted = claims.groupBy("grp", "field", "value").agg(F.sort_array(F.collect_set("src")).alias("asserted"))
@@ -140,14 +151,14 @@ def source_quality(known: DataFrame, rounds: int = 8, prior_true: float = 0.5) -
     return probable.select("field", "asserted", "silent", "probability"), sorted((*k, *v) for k, v in quality.items())
 
 
-def true_values(rows: DataFrame, group: str = "hash", source: str = "sourced_from", fields: tuple[str, ...] = ("task_id", "conference_id"), rounds: int = 8) -> DataFrame:
+def true_values(rows: DataFrame, group: str = "hash", source: str = "sourced_from", fields: tuple[str, ...] = ("task_id", "conference_id"), rounds: int = 8, texts: tuple[str, ...] = (), counts: tuple[str, ...] = ()) -> DataFrame:
     """Every value of every group with its probability: (grp, field, value, probability, judged_true).
 
-    - null and 0 are no value; a null source is a source of its own; rows with a null group are left out.
+    - null is no value, nor are 0 in fields, stand-ins in texts and negative counts (see ``facts``); a null source is a source of its own; rows with a null group are left out.
     - Repeated rows assert once. A group whose values are all judged false keeps its most probable ones (ties: all).
     - An empty table gives no rows.
     """
-    known = cut_lineage(facts(rows, group, source, fields))
+    known = cut_lineage(facts(rows, group, source, fields, texts, counts))
     probable, _ = source_quality(known, rounds)
     scored = known.join(probable, ["field", "asserted", "silent"])
     best = scored.groupBy("grp", "field").agg(F.max("probability").alias("best"))

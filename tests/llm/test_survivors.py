@@ -64,3 +64,14 @@ def test_several_values_may_be_true(spark):
     rows = [(i * 10 + k, f"h{i}", None, None, 1 + v, None, s, None) for i in range(300) for k, (s, v) in enumerate([("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0), ("c", 1), ("d", 7)])]
     kept = [r for r in sur.true_values(frame(spark, rows), fields=("task_id",)).collect() if r.judged_true and r.grp == "h5"]
     assert {r.value for r in kept} == {1, 2}
+
+
+def test_true_values_of_texts_and_counts(spark):
+    rows = [("a", "crawl", " A text. ", 3, 7, 1), ("a", "plan", "A text.", 0, 7, 0), ("a", "plan", None, -1, 0, 1), ("a", "x", "  ", None, None, None)]
+    rows += [(f"g{i}", "crawl", "No abstract", -2, 1, 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "hash string, sourced_from string, snippet string, citations long, task_id long, conference_id long")
+    out = sur.true_values(df, texts=("snippet",), counts=("citations",))
+    assert dict(out.dtypes)["value"] == "string"
+    found = {(r.field, r.value) for r in out.collect() if r.grp == "a"}
+    assert found == {("snippet", "A text."), ("citations", "3"), ("citations", "0"), ("task_id", "7"), ("conference_id", "1")}
+    assert {r.field for r in out.filter("grp like 'g%'").collect()} == {"task_id", "conference_id"}
