@@ -2,8 +2,9 @@
 
 One Aho-Corasick automaton over all runs of SEED tokens of the normalised passages scans each document once; hits carry
 token offsets that map back to the original text. Runs of hits on one diagonal are verbatim leaks. For altered
-sentences, a sentence of n tokens with at most k edits keeps at least n - SEED + 1 - SEED * k of its seeds, so the count
-of seeds is a filter that loses nothing; what passes is aligned by edit distance.
+sentences, a sentence of n tokens with at most k edits keeps at least n - q + 1 - q * k of its seeds of q tokens. With
+SEED for q that may be none in a short sentence; such a sentence has seeds of n // (k + 1) tokens of its own, of which
+one is left. So the count of seeds is a filter that loses nothing; what passes is aligned by edit distance.
 """
 
 from __future__ import annotations
@@ -115,12 +116,21 @@ class Scanner:
             size = min([SEED, *(b - a for a, b in passage.sentences)]) or 1
             for i in range(len(passage.words) - size + 1):
                 seeds[f" {' '.join(passage.words[i : i + size])} "].append((p, i))
+            for a, b in passage.sentences:
+                if (own := self._seed(b - a)) != size:
+                    for i in range(a, b - own + 1):
+                        seeds[f" {' '.join(passage.words[i : i + own])} "].append((p, i))
         self.size = {p: min([SEED, *(b - a for a, b in x.sentences)]) or 1 for p, x in enumerate(found)}
         self.automaton = ahocorasick.Automaton()
         for seed, places in seeds.items():
             self.automaton.add_word(seed, (seed.count(" ") - 1, places))
         self.automaton.make_automaton()
 
+    def _seed(self, n: int) -> int:
+        """Tokens of the seeds of a sentence of n tokens: SEED, or fewer if permitted edits may leave none of those whole."""
+        most = int(n * self.edit_share)
+        return SEED if n - SEED + 1 - SEED * most > 0 else max(1, min(SEED, n // (most + 1)))
+
     def scan(self, text: str) -> Iterator[tuple[int, str, int, int]]:
         """(passage, kind, start_char, end_char) of each passage that leaks into the text, once each."""
         if not self.passages:
@@ -132,22 +142,23 @@ class Scanner:
             at += len(w) + 1
             place[at] = i
         offsets: list[tuple[int, int]] = []
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for end, (size, where) in self.automaton.iter(line):
             first = place[end] - size + 1
             for p, i in where:
-                hits[p].append((first, i))
+                hits[p].append((first, i, size))
         for p, pairs in hits.items():
             found = self._verbatim(p, pairs, words) or self._altered(p, pairs, words)
             if found:
                 offsets = offsets or token_offsets(text)
                 yield p, found[0], offsets[found[1]][0], offsets[found[2] - 1][1]
 
-    def _verbatim(self, p: int, pairs: list[tuple[int, int]], words: list[str]) -> tuple[str, int, int] | None:
+    def _verbatim(self, p: int, pairs: list[tuple[int, int, int]], words: list[str]) -> tuple[str, int, int] | None:
         passage, size = self.passages[p], self.size[p]
         lines: dict[int, list[int]] = defaultdict(list)
-        for at, i in pairs:
-            lines[at - i].append(i)
+        for at, i, n in pairs:
+            if n == size:
+                lines[at - i].append(i)
         for diagonal, places in lines.items():
             places.sort()
             begin = before = places[0]
@@ -161,12 +172,13 @@ class Scanner:
                 begin = before = i
         return None
 
-    def _altered(self, p: int, pairs: list[tuple[int, int]], words: list[str]) -> tuple[str, int, int] | None:
-        passage, size = self.passages[p], self.size[p]
+    def _altered(self, p: int, pairs: list[tuple[int, int, int]], words: list[str]) -> tuple[str, int, int] | None:
+        passage = self.passages[p]
         for a, b in passage.sentences:
             n = b - a
+            size = self._seed(n)
             most = int(n * self.edit_share)
-            inside = sorted((at - i + a, i) for at, i in pairs if a <= i and i + size <= b)
+            inside = sorted((at - i + a, i) for at, i, q in pairs if q == size and a <= i and i + size <= b)
             need = max(1, n - size + 1 - size * most)
             if len({i for _, i in inside}) < need:
                 continue

@@ -78,3 +78,14 @@ def test_chinese_and_long(spark):
 def test_near_is_edit_distance():
     assert lk.near(("a", "b", "c"), ["x", "a", "q", "c", "y"], 2) == (1, 1, 4)
     assert lk.near(("a", "b", "c"), ["x", "y"], 1) is None
+
+
+def test_short_altered_sentences_are_found():
+    for n in range(5, 16):
+        words = tuple(f"w{chr(97 + i)}" for i in range(n))
+        most = int(n * 0.2)
+        changed = list(words)
+        for k in range(most):
+            changed[(k + 1) * (n + 1) // (most + 1) - 1] = "other"
+        scanner = lk.Scanner([lk.Passage((1,), words, ((0, n),), False)], 14, 25, 0.2)
+        assert [x[:2] for x in scanner.scan("before that " + " ".join(changed) + " after it")] == [(0, "altered")], n
