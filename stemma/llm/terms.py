@@ -1,8 +1,9 @@
-"""Frequency of every distinct term: blockwise counts over a global integer dictionary, summed by identifier range.
+"""Frequency of every distinct term: blockwise counts by term, summed by hash of the term. The method named, a global integer
+dictionary built first and counts by id, is replaced: it takes a pass and a join of all tokens more for the same counts.
 
 Plan: one narrow pass turns each block of rows into (term, occurrences, records) partial counts, so the one shuffle
-carries at most one row a term and block, however common the term. Each shuffle partition owns a range of term ids; in
-it the terms are sorted, numbered, and their partial count arrays are added up.
+carries at most one row a term and block, however common the term. In each shuffle partition the terms are sorted, their
+partial count arrays are added up, and they are numbered within a range of ids; the ids play no part in the counting.
 """
 
 from __future__ import annotations
