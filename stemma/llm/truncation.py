@@ -49,13 +49,13 @@ SAMPLE = 400
 
 
 def language(text: str) -> str:
-    """The language of a lower-case text as far as the model needs it: by script, and by function words for Latin script."""
-    head = text[:SAMPLE]
-    if not head.isascii():
+    """The language in which a lower-case text ends, which is what is judged: by script, and by function words for Latin script."""
+    tail = text[-SAMPLE:]
+    if not tail.isascii():
         for name, script, weight in SCRIPTS:
-            if len(script.findall(head)) * weight * 3 > len(head):
+            if len(script.findall(tail)) * weight * 3 > len(tail):
                 return name
-    found = set(head.split())
+    found = set(tail.split())
     best = max(FUNCTION_WORDS, key=lambda k: len(found & FUNCTION_WORDS[k]))
     return best if found & FUNCTION_WORDS[best] else "en"
 

@@ -99,3 +99,7 @@ def test_empty_and_long(spark):
 
 def test_language():
     assert [tr.language(t) for t in ("the model of data", "le modèle des données est", "der bild wird mit", "los datos del método", "модель данных", "实验表明该方法", "12 34")] == ["en", "fr", "de", "es", "ru", "zh", "en"]
+
+
+def test_language_of_the_end():
+    assert tr.language("the model of data " * 40 + "der bild wird mit dem modell und der probe " * 12) == "de"
