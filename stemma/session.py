@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stemma-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="stemma-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -55,3 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, and later stages read it instead of recomputing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_cut(df: DataFrame) -> DataFrame:
+    """The same as a compressed table in that folder, for results of many rows; it goes when the session's JVM ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
