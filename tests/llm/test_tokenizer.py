@@ -30,4 +30,10 @@ def test_round_trip(spark, docs):
 
 def test_empty_table_and_repeats(docs):
     assert tokenizer.encode_corpus(docs.limit(0)).count() == 0
-    assert tokenizer.encode_corpus(docs.union(docs)).count() == len(TEXTS)
+    assert tokenizer.encode_corpus(docs.union(docs)).count() == 2 * len(TEXTS)
+
+
+def test_blocks_of_any_size_give_the_same(docs, monkeypatch):
+    whole = {r.doc_id: r.ids for r in tokenizer.encode_corpus(docs).collect()}
+    monkeypatch.setattr(tokenizer, "BLOCK_WORDS", 1)
+    assert {r.doc_id: r.ids for r in tokenizer.encode_corpus(docs).collect()} == whole
