@@ -69,21 +69,34 @@ def test_table(spark):
 
 
 def test_rare_words_keep_their_verdict(spark):
-    rows = [(i, f"We saw the qzt. {'paper' if i % 2 else 'table'} here.", "en") for i in range(8)] + [(100 + i, "It ends. " * 50, "en") for i in range(20)]
+    rows = [(i, f"We saw the qzt. {'paper' if i % 2 else 'table'} here, cf. the qzz.", "en") for i in range(8)] + [(100 + i, "It ends. " * 50, "en") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    corpus, rare = sn.corpus_abbreviations(df, least_share=0.1)
+    corpus, rare = sn.corpus_abbreviations(df, most=1)
     assert "qzt" not in corpus and "qzt" in {r.word for r in rare.collect()}
-    everywhere, _ = sn.corpus_abbreviations(df, least_share=0.0)
-    assert corpus | {r.word: r.verdict for r in rare.collect()} == everywhere
-    few, all_ = (sorted(map(tuple, sn.sentences(df, least_share=s).collect())) for s in (0.1, 0.0))
+    everywhere, none = sn.corpus_abbreviations(df)
+    assert none is None and corpus | {r.word: r.verdict for r in rare.collect()} == everywhere
+    few, all_ = (sorted(map(tuple, sn.sentences(df, most=m).collect())) for m in (1, 1000))
     assert few == all_
 
 
-def test_evidence_does_not_depend_on_length():
-    text = "Voir l'éq. 3 du texte, un éq seul et in-proc. ici, cf. l'éq. de base. Une équation, a.a.a. et d. h. fin. "
-    for word in ("éq", "proc", "in-proc", "l'éq", "a.a", "h", "cf"):
-        assert sn.word_evidence(text, text.lower(), word, sn.run_places(text.lower())) == sn.word_evidence(text, text.lower(), word)
-    long = sn.Splitter()
-    list(long.spans(text * (sn.LONG // len(text) + 2), "fr"))
-    assert long._evidence("éq") == sn.word_evidence(long.text, long.lower, "éq") and long._evidence("éq")[1] > 0
-    assert tuple(sn.dot_evidence(text)["éq"][:2]) == sn.word_evidence(text, text.lower(), "éq")[:2]
+def test_one_evidence_for_documents_and_corpus():
+    text = "Voir l'éq. 3 du texte, un éq seul et in-proc. ici, cf. l'éq. de base. Une équation, a.a.a. et d. h. fin. डॉ. Doe ने डॉ कहा."
+    rows, found = sn.stops(text), sn.occurrences(text)
+    assert rows["éq"][:2] == [2, 2] and found["éq"] == 3 and found["डॉ"] == 2 and rows["डॉ"][0] == 1
+    assert rows["proc"][:3] == rows["in-proc"][:3] == [1, 1, 1] and "3" not in rows
+    both, twice = sn.stops(text + "\n\n" + text), sn.occurrences(text + "\n\n" + text)
+    assert both == {w: [2 * n for n in r] for w, r in rows.items()} and twice == {w: 2 * n for w, n in found.items()}
+
+
+@pytest.mark.parametrize("text", ["On lit l'zorb. cinq puis l'zorb. six et d'zorb. sept. Puis l'zorb. Huit vient. Fin ici.", "He saw fig. Three of approx. nine. Later the fig. Four came. Dr. Doe left. See no. 3."])
+def test_padding_never_moves_a_boundary(text):
+    alone = sn.Splitter().spans(text)
+    for size in (10, 1_000, 40_000):
+        padded = text + "\n\n" + "Plain filler goes on here. " * (size // 27)
+        assert [x for x in sn.Splitter().spans(padded) if x[1] <= len(text)] == alone
+
+
+def test_document_and_corpus_come_before_the_list():
+    text = "The fig was ripe. Each fig fell. We ate a fig. Then a fig. Then it rained. One more fig here, a fig there."
+    assert "We ate a fig." in [text[a:b] for a, b in sn.Splitter().spans(text)]
+    assert len(sn.Splitter({"fig": "W"}).spans("It was a fig. Then it rained.")) == 2 and len(sn.Splitter().spans("It was in Fig. Three then.")) == 1
