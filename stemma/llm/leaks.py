@@ -4,26 +4,35 @@ One Aho-Corasick automaton over all runs of SEED tokens of the normalised passag
 token offsets that map back to the original text. Runs of hits on one diagonal are verbatim leaks. For altered
 sentences, a sentence of n tokens with at most k edits keeps at least n - q + 1 - q * k of its seeds of q tokens. With
 SEED for q that may be none in a short sentence; such a sentence has seeds of n // (k + 1) tokens of its own, of which
-one is left. So the count of seeds is a filter that loses nothing; what passes is aligned by edit distance.
+one is left. So the count of seeds loses no sentence of enough tokens; what passes is aligned by edit distance.
+
+Tokens are spelt in a few symbols each, another set for each place, so that the automaton has few nodes and branches.
+A question is no part of a passage: the task asks for passages, and questions of the same form are asked of many.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stemma.llm.sentences import Splitter
+from stemma.session import cut_lineage
 
 SEED = 4
-#: Test items of one automaton; more items are scanned in several blocks. Bounds what is sent to each worker.
-ITEM_BLOCK = 20_000
+#: Tokens of the passages of one automaton (about 0.4 GB at most in each Python worker); more are scanned in several blocks.
+BLOCK_TOKENS = 1_000_000
+#: Tokens of the shortest sentence that leaks by itself; Han: of single characters.
+LEAST_WORDS, LEAST_CHARS = 5, 10
+#: Symbols of an alphabet in which tokens are spelt.
+BASE = 64
 TOKEN = regex.compile(r"\p{Han}|(?:(?!\p{Han})[\p{L}\p{N}\p{M}]\p{Cf}*)+")
 INVISIBLE = regex.compile(r"\p{Cf}+")
 
@@ -58,27 +67,43 @@ def item_sentences(text: str, splitter: Splitter) -> list[tuple[str, ...]]:
     return [tuple(tokens(line[a:b])) for line in text.splitlines() for a, b in splitter.spans(line) if not line[a:b].rstrip("\"'”»」』)").endswith(("?", "？", "؟"))]
 
 
-def shared_sentences(items: DataFrame, text_col: str, share: float, least: int) -> set[tuple[str, ...]]:
-    """Sentences that so many items share that they are instructions; there are at most (sentences an item) / share."""
+def split_items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item, parts ARRAY<STRING>): the sentences of each item but for questions, as tokens with blanks between."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([s for t in batch.column(0).to_pylist() for s in {" ".join(s) for s in item_sentences(t or "", splitter)}], pa.string())], ["sentence"])
+            parts = [[" ".join(s) for s in item_sentences(t, splitter) if s] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.string()))], ["item", "parts"])
+
+    return items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text")).dropna().mapInArrow(split, "item bigint, parts array<string>")
 
-    counts = items.select(text_col).mapInArrow(split, "sentence string").groupBy("sentence").count()
-    enough = max(least, share * items.count())
-    return {tuple(r.sentence.split(" ")) for r in counts.filter(F.col("count") >= enough).select("sentence").collect()}
 
+def instructions(split: DataFrame, least: int) -> set[str]:
+    """Sentences that lead in or close ``least`` different passages; there are at most (sentences) / least of them.
 
-def passages(rows: list[tuple[int, str]], instructions: set[tuple[str, ...]]) -> list[Passage]:
-    """The passages of items: their text without shared instructions and without the question. Equal ones are one."""
-    splitter = Splitter()
+    A sentence with so many different neighbours is a candidate. It is an instruction if its items without any candidate
+    still have so many different texts; a passage that many items share, under whatever instructions, has not.
+    """
+    none = F.array(F.lit(""))
+    texts = split.select("parts").distinct().withColumn("text", F.xxhash64(F.array_join("parts", "\x1f")))
+    before, after = F.concat(none, F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0)))), F.concat(F.slice("parts", 2, F.size("parts")), none)
+    each = cut_lineage(texts.select("text", F.posexplode(F.arrays_zip(F.col("parts").alias("s"), before.alias("b"), after.alias("a"))).alias("pos", "x")).select("text", "pos", "x.s", "x.b", "x.a"))
+    near_ = each.groupBy("s").agg(F.countDistinct("b").alias("b"), F.countDistinct("a").alias("a"))
+    found = cut_lineage(near_.filter(F.greatest("b", "a") >= least).select("s"))
+    if found.isEmpty():
+        return set()
+    rest = each.join(found, "s", "left_anti").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("pos", "s")))["s"].alias("rest"))
+    led = each.join(found, "s").select("s", "text").join(rest, "text").groupBy("s").agg(F.countDistinct("rest").alias("n"))
+    return {r.s for r in led.filter(F.col("n") >= least).select("s").collect()}
+
+
+def passages(rows: list[tuple[int, list[str]]], left_out: set[str]) -> list[Passage]:
+    """The passages of items (item, parts): their sentences without instructions. Equal ones are one."""
     found: dict[tuple, list[int]] = defaultdict(list)
-    for item, text in rows:
-        parts = tuple(s for s in item_sentences(text or "", splitter) if s and s not in instructions)
-        if parts:
-            found[parts].append(item)
+    for item, parts in rows:
+        if kept := tuple(tuple(s.split(" ")) for s in parts if s not in left_out):
+            found[kept].append(item)
     out = []
     for parts, ids in found.items():
         at, ranges = 0, []
@@ -111,24 +136,44 @@ class Scanner:
         import ahocorasick
 
         self.passages, self.run_words, self.run_chars, self.edit_share = found, run_words, run_chars, edit_share
-        seeds: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        known = sorted({w for x in found for w in x.words})
+        self.width = 1
+        while BASE**self.width < len(known):
+            self.width += 1
+        spell = lambda n: "".join(chr(0x100 + BASE * k + n // BASE**k % BASE) for k in range(self.width))
+        self.code = {w: spell(n) for n, w in enumerate(known)}
+        self.unknown = "\0" * self.width
+        self.size = [self._run_seed(x) for x in found]
+        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for p, passage in enumerate(found):
-            size = min([SEED, *(b - a for a, b in passage.sentences)]) or 1
-            for i in range(len(passage.words) - size + 1):
-                seeds[f" {' '.join(passage.words[i : i + size])} "].append((p, i))
-            for a, b in passage.sentences:
-                if (own := self._seed(b - a)) != size:
-                    for i in range(a, b - own + 1):
-                        seeds[f" {' '.join(passage.words[i : i + own])} "].append((p, i))
-        self.size = {p: min([SEED, *(b - a for a, b in x.sentences)]) or 1 for p, x in enumerate(found)}
+            spelt = [self.code[w] for w in passage.words]
+            spans = {(0, len(spelt), self.size[p])} | {(a, b, self._seed(b - a)) for a, b in passage.sentences if self._counts(passage, b - a)}
+            covered = {n: {i for a, b, q in spans if q == n for i in range(a, b - n + 1)} for n in {q for _, _, q in spans}}
+            for n, starts in covered.items():
+                for i in starts:
+                    places["".join(spelt[i : i + n])].append((p, i))
         self.automaton = ahocorasick.Automaton()
-        for seed, places in seeds.items():
-            self.automaton.add_word(seed, (seed.count(" ") - 1, places))
+        for seed, where in places.items():
+            self.automaton.add_word(seed, (len(seed) // self.width, where))
         self.automaton.make_automaton()
 
+    def _run_seed(self, passage: Passage) -> int:
+        """Tokens of the seeds for verbatim runs: SEED, or fewer if fewer tokens may be a run (a Han passage with long words)."""
+        least, sizes = SEED, [len(w) for w in passage.words]
+        while least > 1 and (least > self.run_words if not passage.han else any(sum(sizes[i : i + least - 1]) >= self.run_chars for i in range(len(sizes)))):
+            least -= 1
+        return least
+
+    def _counts(self, passage: Passage, n: int) -> bool:
+        return n >= (LEAST_CHARS if passage.han else LEAST_WORDS)
+
+    def _edits(self, n: int) -> int:
+        """About one word in so many: to the nearest whole number."""
+        return int(n * self.edit_share + 0.5)
+
     def _seed(self, n: int) -> int:
         """Tokens of the seeds of a sentence of n tokens: SEED, or fewer if permitted edits may leave none of those whole."""
-        most = int(n * self.edit_share)
+        most = self._edits(n)
         return SEED if n - SEED + 1 - SEED * most > 0 else max(1, min(SEED, n // (most + 1)))
 
     def scan(self, text: str) -> Iterator[tuple[int, str, int, int]]:
@@ -136,24 +181,20 @@ class Scanner:
         if not self.passages:
             return
         words = tokens(text)
-        line = f" {' '.join(words)} "
-        place, at = {}, 0
-        for i, w in enumerate(words):
-            at += len(w) + 1
-            place[at] = i
-        offsets: list[tuple[int, int]] = []
+        get, unknown, width = self.code.get, self.unknown, self.width
         hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, (size, where) in self.automaton.iter(line):
-            first = place[end] - size + 1
+        for end, (size, where) in self.automaton.iter("".join([get(w, unknown) for w in words])):
+            first = (end + 1) // width - size
             for p, i in where:
                 hits[p].append((first, i, size))
+        offsets: list[tuple[int, int]] = []
         for p, pairs in hits.items():
-            found = self._verbatim(p, pairs, words) or self._altered(p, pairs, words)
+            found = self._verbatim(p, pairs) or self._altered(p, pairs, words)
             if found:
                 offsets = offsets or token_offsets(text)
                 yield p, found[0], offsets[found[1]][0], offsets[found[2] - 1][1]
 
-    def _verbatim(self, p: int, pairs: list[tuple[int, int, int]], words: list[str]) -> tuple[str, int, int] | None:
+    def _verbatim(self, p: int, pairs: list[tuple[int, int, int]]) -> tuple[str, int, int] | None:
         passage, size = self.passages[p], self.size[p]
         lines: dict[int, list[int]] = defaultdict(list)
         for at, i, n in pairs:
@@ -176,8 +217,9 @@ class Scanner:
         passage = self.passages[p]
         for a, b in passage.sentences:
             n = b - a
-            size = self._seed(n)
-            most = int(n * self.edit_share)
+            if not self._counts(passage, n):
+                continue
+            size, most = self._seed(n), self._edits(n)
             inside = sorted((at - i + a, i) for at, i, q in pairs if q == size and a <= i and i + size <= b)
             need = max(1, n - size + 1 - size * most)
             if len({i for _, i in inside}) < need:
@@ -199,6 +241,10 @@ class Scanner:
         return None
 
 
+#: The scanner that this Python worker made last, by the key of its passages.
+_made: dict[str, Scanner] = {}
+
+
 def leaks(
     texts: DataFrame,
     items: DataFrame,
@@ -208,36 +254,44 @@ def leaks(
     item_text: str = "text",
     run_words: int = 14,
     run_chars: int = 25,
-    edit_share: float = 0.2,
-    instruction_share: float = 0.02,
-    instruction_items: int = 5,
+    edit_share: float = 1 / 6,
+    instruction_passages: int = 5,
 ) -> DataFrame:
     """(doc_id, item_id, kind, start_char, end_char): each document with each item it leaks, and where first.
 
     A document leaks an item if it holds run_words words in a row of the item's passage (Han: run_chars characters) or a
-    whole sentence of it with at most edit_share of its words changed, added or dropped. Sentences shared by
-    instruction_share of all items (and instruction_items at least) are instructions and no passage; neither are
-    questions. Letter case, punctuation, white space and invisible characters do not matter.
+    whole sentence of it, of LEAST_WORDS words (Han: LEAST_CHARS characters) or more, with at most edit_share of its
+    words, to the nearest whole number, changed, added or dropped. Shorter sentences leak as part of a run only. A
+    sentence that leads in or closes instruction_passages different passages is an instruction and no passage; neither
+    are questions. Letter case, punctuation, white space and invisible characters do not matter.
 
-    - Null and empty documents leak nothing; items without text or without a passage are never leaked.
-    - Items with the same passage all come out. Repeated documents each come out; a repeated item counts once.
+    - Null and empty documents leak nothing; items without id, text or passage are never leaked.
+    - Items with the same passage all come out, however many. Repeated documents each come out; a repeated item counts once.
     - Texts are scanned whole. Empty tables give no rows. Other columns are not read.
+
+    Passages are sent to each worker, which builds their automaton once. Test sets beyond BLOCK_TOKENS tokens come in
+    blocks by hash, each with a scan of its own; the result is the same.
     """
-    instructions = shared_sentences(items, item_text, instruction_share, instruction_items)
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    split = cut_lineage(split_items(items, item_id, item_text))
+    left_out = instructions(split, instruction_passages)
+    size: Column = F.coalesce(F.sum(F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, s: n + F.size(F.split(s, " ")))), F.lit(0))
+    count = max(1, -(-split.agg(size).first()[0] // BLOCK_TOKENS))
     rows = texts.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == k) if blocks > 1 else items
-        known = passages([(r[0], r[1]) for r in block.select(F.col(item_id).cast("bigint"), item_text).dropna().collect()], instructions)
-
-        def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(known, run_words, run_chars, edit_share)
+    for k in range(count):
+        block = split.filter(F.pmod(F.xxhash64(F.array_join("parts", "\x1f")), F.lit(count)) == k) if count > 1 else split
+        known, name = rows.sparkSession.sparkContext.broadcast(passages([tuple(r) for r in block.collect()], left_out)), uuid.uuid4().hex
+
+        def scan(batches: Iterator[pa.RecordBatch], known=known, name=name) -> Iterator[pa.RecordBatch]:
+            if name not in _made:
+                _made.clear()
+                _made[name] = Scanner(known.value, run_words, run_chars, edit_share)
+            scanner = _made[name]
             for batch in batches:
                 cols: list[list] = [[], [], [], [], []]
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for p, kind, a, b in scanner.scan(text):
-                        for item in known[p].items:
+                        for item in scanner.passages[p].items:
                             for c, x in zip(cols, (key, item, kind, a, b)):
                                 c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "kind", "start_char", "end_char"])

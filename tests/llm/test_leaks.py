@@ -61,7 +61,7 @@ def test_finds_exactly_what_leaked(spark, data):
 
 
 def test_blocks_of_items(spark, data, monkeypatch):
-    monkeypatch.setattr(lk, "ITEM_BLOCK", 7)
+    monkeypatch.setattr(lk, "BLOCK_TOKENS", 300)
     docs, items, wanted = data
     got = lk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == wanted
@@ -80,12 +80,39 @@ def test_near_is_edit_distance():
     assert lk.near(("a", "b", "c"), ["x", "y"], 1) is None
 
 
-def test_short_altered_sentences_are_found():
-    for n in range(5, 16):
-        words = tuple(f"w{chr(97 + i)}" for i in range(n))
-        most = int(n * 0.2)
-        changed = list(words)
-        for k in range(most):
-            changed[(k + 1) * (n + 1) // (most + 1) - 1] = "other"
-        scanner = lk.Scanner([lk.Passage((1,), words, ((0, n),), False)], 14, 25, 0.2)
-        assert [x[:2] for x in scanner.scan("before that " + " ".join(changed) + " after it")] == [(0, "altered")], n
+def test_altered_sentences_are_found_wherever_the_edits_lie():
+    rnd = random.Random(5)
+    for n in range(5, 41):
+        words = tuple(f"w{chr(97 + i % 26)}{i}" for i in range(n))
+        scanner = lk.Scanner([lk.Passage((1,), words, ((0, n),), False)], 99, 25, 1 / 6)
+        most = scanner._edits(n)
+        assert abs(most - n / 6) <= 0.5
+        spread = [(k + 1) * (n + 1) // (most + 1) - 1 for k in range(most)]
+        for places in [spread, *(rnd.sample(range(n), most) for _ in range(40))]:
+            changed = list(words)
+            for at in sorted(places, reverse=True):
+                kind = rnd.choice("cad") if places is not spread else "c"
+                changed[at : at + 1] = [] if kind == "d" else [words[at], "other"] if kind == "a" else ["other"]
+            assert [x[:2] for x in scanner.scan("before that " + " ".join(changed) + " after it")] == [(0, "altered")], (n, places)
+
+
+def test_short_sentences_leak_only_in_a_run():
+    text = "The ledger of the mill was weighed over several weeks before the flood came. Indeed. It converged early."
+    found = lk.passages([(1, [" ".join(s) for s in lk.item_sentences(text, lk.Splitter())])], set())
+    scanner = lk.Scanner(found, 14, 25, 1 / 6)
+    assert not list(scanner.scan("We do indeed like cheese. Indeed. It converged early.")) and len(list(scanner.scan("x " + text))) == 1
+
+
+def test_shared_passages_are_no_instructions(spark):
+    led = [f"Instruction number {w} for the reader of this text." for w in "one two three four five six".split()]
+    shared = "The quiet ledger of the winter store was weighed by candlelight for ninety nights."
+    other = [f"The {w} voucher of the salt cellar was kept beneath a brass map for many years." for w in WORDS[:8]]
+    rows = [(i, f"{x}\n{shared} Who kept it?") for i, x in enumerate(led * 4)] + [(100 + i, f"{led[i % 6]}\n{x} Who kept it?") for i, x in enumerate(other * 9)]
+    split = lk.split_items(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text")
+    assert lk.instructions(split, 4) == {" ".join(lk.tokens(x)) for x in led}
+    assert lk.instructions(split.limit(0), 4) == set()
+
+
+def test_a_run_of_few_long_words_in_a_chinese_passage():
+    found = [lk.Passage((1,), ("甲", "乙", "internationalization", "internationalization", "丙", "丁", "戊", "己"), ((0, 8),), True)]
+    assert [x[1] for x in lk.Scanner(found, 14, 25, 1 / 6).scan("x internationalization internationalization y")] == ["verbatim"]
