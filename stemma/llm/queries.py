@@ -23,8 +23,8 @@ def p1_terms(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    scored = rel.relevance(table(spark, root, "papers"), "seq", terms.record_text(*PAPER_TEXT), min_tf=3, max_df=6)
-    return scored.select(F.col("id").alias("seq"), "term")
+    scored = rel.relevance(table(spark, root, "papers"), "seq", terms.record_text(*PAPER_TEXT), min_tf=3, floor=(3, 6))
+    return scored.filter("df <= 6").select(F.col("id").alias("seq"), "term")  # a weight may also come from a higher tf
 
 
 def p4_scores(spark: SparkSession, root: str) -> DataFrame:

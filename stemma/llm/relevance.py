@@ -1,73 +1,89 @@
 """How distinctive each term is of its record: probabilistic relevance weights (saturating frequency, length-normalised).
 
 weight = ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length))
+
+Texts are read once. The pass writes the terms of records that are wanted, and the counts of each block of records,
+which give document frequencies, number of records and mean length over all.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stemma.llm.terms import term_frequencies, terms_of
+from stemma.llm.terms import BLOCK_TERMS, Block, tally
+from stemma.session import write_cut
 
-#: A term in more than one record of so many is "hot": there are at most HOT * (mean distinct terms of a record) of them.
-HOT = 1000
+#: A term in more than one record of HOT, and in more than one of MOST_HOT of all (record, term) pairs, is hot. So there
+#: are at most MOST_HOT hot terms, and no other has more rows than the greater of these shares.
+HOT, MOST_HOT = 1000, 200_000
+PARTS = "kind tinyint, id bigint, term string, n bigint, m bigint"
 
 
-def record_terms(rows: DataFrame, id_col: str, text: Column, min_tf: int = 1) -> DataFrame:
-    """(id, term, tf, length) for every term that occurs at least min_tf times in its record; length counts all its terms."""
+def read(rows: DataFrame, id_col: str, text: Column, min_tf: int) -> DataFrame:
+    """PARTS: of kind 0 (id, term, tf, length) of records; of kind 1 (term, records) and of kind 2 (records, length) of blocks."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = terms_of(value)
-                for term, tf in Counter(found).items():
-                    if tf >= min_tf:
-                        for column, x in zip(out, (key, term, tf, len(found))):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["id", "term", "tf", "length"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, records, length = Block(), 0, 0
 
-    return rows.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).filter("text is not null").mapInArrow(split, "id bigint, term string, tf bigint, length bigint")
+        def part(kind: int, ids, terms, n, m) -> pa.RecordBatch:
+            size = len(n)
+            arrays = [pa.array(np.full(size, kind, np.int8)), ids or pa.nulls(size, pa.int64()), terms if terms is not None else pa.nulls(size, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["kind", "id", "term", "n", "m"])
 
+        def counted() -> pa.RecordBatch:
+            terms, _, n = block.sums()
+            return part(1, None, terms, n, np.zeros(len(n), np.int64))
 
-def relevance(rows: DataFrame, id_col: str, text: Column, k1: float = 1.2, b: float = 0.75, min_tf: int = 1, max_df: int | None = None) -> DataFrame:
+        for batch in batches:
+            t = tally(batch.column(1).to_pylist())
+            records += int((t.lengths > 0).sum())
+            length += int(t.lengths.sum())
+            block.add(t)
+            kept = np.flatnonzero(t.tf >= min_tf)
+            yield part(0, batch.column(0).take(pa.array(t.row[kept])), t.terms.take(pa.array(t.code[kept])), t.tf[kept], t.lengths[t.row[kept]])
+            if block.size > BLOCK_TERMS:
+                yield counted()
+                block = Block()
+        if block.size:
+            yield counted()
+        yield part(2, None, None, [records], [length])
+
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).filter("text is not null").mapInArrow(run, PARTS)
+
+
+def relevance(rows: DataFrame, id_col: str, text: Column, k1: float = 1.2, b: float = 0.75, min_tf: int = 1, floor: tuple[int, int] | None = None) -> DataFrame:
     """The weight of each term in each record: (id, term, tf, df, weight).
 
-    Document frequencies, record count and mean length cover all rows. min_tf and max_df select which weights are
-    wanted; both act before the join, which then carries only those terms.
+    Document frequencies, record count and mean length cover all rows. min_tf: terms that occur less often in the record
+    have no row. floor: (tf, df); rows must weigh at least what a term that occurs so often, in so many records, weighs
+    in the same record. Since weights grow with tf and fall with df, no row with that tf or more and that df or less is lost.
 
     - A null text has no terms and does not count as a record; neither does one without any letter or digit.
     - Repeated rows are records of their own; a null id stays null. An empty table gives no rows.
     - Terms of equal weight all come out. Columns other than id_col and those of ``text`` are not read.
 
-    A very common term has a join key that a third of all rows may share. Terms in more than 1/HOT of all records are
-    joined by broadcast, and only they: their number is bounded by HOT times a record's mean number of distinct terms,
-    whatever the size of the collection. All others are joined by shuffle.
+    A very common term has a join key that a third of all rows may share. Hot terms (HOT, MOST_HOT) are joined by
+    broadcast, all others by shuffle.
     """
-    df = term_frequencies(rows, text).select("term", F.col("n_records").alias("df"), "occurrences")
-    size = F.pandas_udf(_lengths, "bigint")
-    lengths = rows.select(size(text).alias("length")).filter("length > 0")
-    totals = lengths.agg(F.count("*").alias("records"), F.avg("length").alias("mean"))
-    wanted = record_terms(rows, id_col, text, min_tf)
-    scale = F.broadcast(totals)  # one row
-    if max_df is not None:
-        joined = wanted.join(df.filter(F.col("df") <= max_df), "term").crossJoin(scale)
-    else:
-        ranked = df.crossJoin(scale).withColumn("hot", F.col("df") * HOT > F.col("records"))
-        hot = ranked.filter("hot").select("term", "df", "records", "mean")
-        cold = ranked.filter("not hot").select("term", "df", "records", "mean")
-        joined = wanted.join(F.broadcast(hot), "term").unionByName(wanted.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term"))
-    idf = F.log1p((F.col("records") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return joined.select("id", "term", "tf", "df", weight.alias("weight"))
-
-
-def _lengths(texts):
-    import pandas as pd
-
-    return pd.Series([len(terms_of(t)) if t else 0 for t in texts], dtype="int64")
+    parts = write_cut(read(rows, id_col, text, min_tf))
+    wanted = parts.filter("kind = 0").select("id", "term", F.col("n").alias("tf"), F.col("m").alias("length"))
+    whole = F.col("kind") == 2
+    totals = parts.agg(*(F.coalesce(F.sum(F.when(c, x)), F.lit(0)).alias(name) for c, x, name in ((whole, F.col("n"), "records"), (whole, F.col("m"), "length"), (F.col("kind") == 1, F.col("n"), "pairs"))))
+    scale = F.broadcast(totals.select("records", "pairs", (F.col("length") / F.col("records")).alias("mean")))  # one row
+    df = parts.filter("kind = 1").groupBy("term").agg(F.sum("n").alias("df")).crossJoin(scale)
+    ranked = df.withColumn("hot", (F.col("df") * HOT > F.col("records")) & (F.col("df") * MOST_HOT > F.col("pairs"))).select("term", "df", "records", "mean", "hot")
+    known = wanted.join(F.broadcast(ranked.filter("hot")), "term", "left")
+    joined = known.filter("hot").unionByName(known.filter("hot is null").drop("df", "records", "mean", "hot").join(ranked.filter("not hot"), "term"))
+
+    def weight(tf: Column, df: Column) -> Column:
+        idf = F.log1p((F.col("records") - df + 0.5) / (df + 0.5))
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+
+    scored = joined.withColumn("weight", weight(F.col("tf").cast("double"), F.col("df")))
+    if floor is not None:
+        scored = scored.filter(F.col("weight") >= weight(F.lit(float(floor[0])), F.lit(floor[1])) * (1 - 1e-9))
+    return scored.select("id", "term", "tf", "df", "weight")

@@ -36,8 +36,15 @@ def test_frequencies_are_exact(rows, block, monkeypatch):
 
 
 def test_ids_do_not_change(rows):
-    ids = lambda: {(r.term, r.term_id) for r in terms.term_frequencies(rows.repartition(3), terms.record_text("title", "snippet")).collect()}
-    assert ids() == ids()
+    found = terms.term_frequencies(rows.repartition(3), terms.record_text("title", "snippet"))
+    ids = lambda: {(r.term, r.term_id) for r in found.collect()}
+    assert ids() == ids() and len({i for _, i in ids()}) == len(ids())
+
+
+def test_ranges_add_up_all_blocks(spark):
+    rows = [(i, n, 1) for n in (1, 2, 3) for i in (0, 5, 65_535, 65_536, 1 << 40, (1 << 40) + 70_000)]
+    got = terms.sum_ranges(spark.createDataFrame(rows, "term_id long, occurrences long, n_records long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 6, 3) for i in (0, 5, 65_535, 65_536, 1 << 40, (1 << 40) + 70_000)]
 
 
 def test_marks_and_empty(rows, spark):
@@ -54,14 +61,17 @@ def brute(k1=1.2, b=0.75):
     return sorted((i if i is not None else -1, t, tf, df[t], round(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean)), 9)) for i, c, size in docs for t, tf in c.items())
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
-def test_weights_are_exact(rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot, most", [(1, 200_000), (1000, 200_000), (1000, 3)])
+def test_weights_are_exact(rows, hot, most, monkeypatch):
     monkeypatch.setattr(rel, "HOT", hot)
+    monkeypatch.setattr(rel, "MOST_HOT", most)
     got = rel.relevance(rows, "seq", terms.record_text("title", "snippet")).collect()
     assert sorted((r.id if r.id is not None else -1, r.term, r.tf, r.df, round(r.weight, 9)) for r in got) == brute()
 
 
 def test_selection_equals_filter(rows):
-    got = rel.relevance(rows, "seq", terms.record_text("title", "snippet"), min_tf=2, max_df=3).collect()
-    assert sorted((r.id, r.term, round(r.weight, 9)) for r in got) == [(i, t, w) for i, t, tf, df, w in brute() if tf >= 2 and df <= 3]
+    got = rel.relevance(rows, "seq", terms.record_text("title", "snippet"), min_tf=2, floor=(2, 3)).collect()
+    kept = [(r.id, r.term, round(r.weight, 9)) for r in got if r.df <= 3]
+    assert sorted(kept) == [(i, t, w) for i, t, tf, df, w in brute() if tf >= 2 and df <= 3]
+    assert len(got) < sum(tf >= 2 for _, _, tf, _, _ in brute()) or len(got) == len(kept)
     assert rel.relevance(rows.limit(0), "seq", terms.record_text("title", "snippet")).count() == 0
