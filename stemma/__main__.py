@@ -7,8 +7,10 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stemma.functions import text as T
 from stemma.operators import dml, merge, planner, splitting, stats
 from stemma.sources import config
+from stemma.session import cut_lineage
 from stemma.sources.pages import parse_pages, replay_links
 from stemma.store import Store
 
@@ -34,31 +36,100 @@ def select(conferences: DataFrame, name: str | None) -> DataFrame:
 
 
 def merge_stores(own: Store, other: Store) -> DataFrame:
-    """Everything of the other store into the own one, in one commit; the change counts."""
-    conf = merge.conference_map(own.read("conferences"), other.read("conferences"))
-    moved = lambda df: df.join(conf, df["conference_id"] == conf["src_id"], "left").drop("conference_id", "src_id", "is_new").withColumnRenamed("dst_id", "conference_id")
-    tasks = merge.merge_tasks(own.read("tasks"), moved(other.read("tasks")).filter("conference_id is not null"))
-    a, b = tasks.alias("a"), moved(other.read("tasks")).alias("b")
-    task_map = a.join(b, dml.same_key("a", "b", dml.TASK_KEY)).select(F.col("b.id").alias("src_id"), F.col("a.id").alias("dst_id"))
-    theirs = moved(other.read("papers")).join(task_map, F.col("task_id") == F.col("src_id"), "left").withColumn("task_id", F.coalesce("dst_id", dml.no_zero(F.col("task_id")))).drop("src_id", "dst_id")
-    papers = merge.merge_papers(own.read("papers"), theirs, task_map.select(F.col("dst_id").alias("task_id")))
-    seen = own.read("papers").select("hash", "raw_html", "scraped_at").unionByName(theirs.select("hash", "raw_html", "scraped_at")).groupBy("hash").agg(F.max("raw_html").alias("raw_html"), F.min("scraped_at").alias("scraped_at"))
-    counts = dml.newest(own.read("count_cache"), other.read("count_cache"), ["query", "year_from", "year_to"], "count", "updated_at")
-    rows = merge.merge_stats(tasks=tasks, papers=papers).collect()  # two tables, three kinds of change
-    own.commit(
-        conferences=merge.merge_conferences(own.read("conferences"), other.read("conferences")),
-        conference_aliases=merge.merge_aliases(own.read("conference_aliases"), other.read("conference_aliases"), conf),
-        tasks=tasks, papers=papers.join(seen, "hash", "left"), page_html=merge.merge_pages(own.read("page_html"), other.read("page_html"), task_map), count_cache=counts,
-    )
+    """Everything of the other store into the own one, in one commit; how many rows of each table were added or updated."""
+    known = cut_lineage(merge.merge_conferences(own.read("conferences"), other.read("conferences")))
+    conf = merge.conference_map(known, other.read("conferences"))
+    moved = lambda name: other.read(name).join(conf, F.col("conference_id") == F.col("src_id"), "left").drop("conference_id", "src_id", "is_new").withColumnRenamed("dst_id", "conference_id")
+    theirs = moved("tasks").filter("conference_id is not null")
+    tasks = cut_lineage(merge.merge_tasks(own.read("tasks"), theirs))
+    if tasks.groupBy("id").count().filter("count > 1").limit(1).count():
+        raise RuntimeError("two tasks would have one id")
+    ids = cut_lineage(merge.task_map(tasks, theirs))
+    key = ["query", "year_from", "year_to"]
+    merged = {
+        "conferences": known,
+        "tasks": tasks,
+        "papers": merge.merge_papers(own.read("papers"), moved("papers"), ids),
+        "page_html": merge.merge_pages(own.read("page_html"), other.read("page_html"), ids),
+        "paper_tasks": merge.merge_links(own.read("paper_tasks"), other.read("paper_tasks"), ids),
+        "count_cache": dml.newest(own.read("count_cache"), other.read("count_cache"), key, "count", "updated_at"),
+        "plan_harvest_pages": dml.newest(own.read("plan_harvest_pages"), other.read("plan_harvest_pages"), key, "html", "scraped_at"),
+    }
+    rows = merge.merge_stats(**merged).collect()  # seven tables, three kinds of change
+    own.commit(conference_aliases=merge.merge_aliases(own.read("conference_aliases"), other.read("conference_aliases"), conf), **merged)
     return own.spark.createDataFrame([tuple(r) for r in rows], "tbl string, change string, n long")
 
 
-def generate(store: Store, venue, settings: config.Settings) -> DataFrame:
-    """The window plan of a venue's names from known counts alone; leaves that exceed the cap are marked."""
-    names = stats.names(store.read("conferences"), store.read("conference_aliases")).filter(F.col("id") == venue.id).select(F.explode("names").alias("query"))
+def limits(s: config.Settings) -> planner.Limits:
+    return planner.Limits(s.max_results, s.headroom, s.min_balance, s.max_probes, s.min_papers_to_trust, s.min_coverage, s.max_side_fraction, s.mine_phrase_boost, s.mine_max_ngram, s.max_mined_keywords)
+
+
+def generate(store: Store, venue, settings: config.Settings, every: DataFrame | None = None, ranking: DataFrame | None = None) -> DataFrame:
+    """The plan of all names of a venue from known counts and papers alone.
+
+    A window over the cap falls into years. A year over it keeps its stored partition if that is still good, else it is
+    partitioned by keywords of the venue's own papers, every bucket counted; one that can't be stays marked needs_split.
+    """
+    spark, o = store.spark, limits(settings)
+    papers, cache = store.read("papers"), store.read("count_cache")
+    names = [r.query for r in stats.names(store.read("conferences"), store.read("conference_aliases")).filter(F.col("id") == venue.id).select(F.explode("names").alias("query")).collect()]  # configured
     year = settings.last_year(datetime.date.today().year)
-    windows = splitting.year_windows(names, settings.start_year, year, store.read("count_cache"), settings.max_results)
-    return planner.leaves_to_tasks(windows.withColumn("keywords", F.array().cast("array<string>")), venue.id)
+    windows = cut_lineage(splitting.year_windows(spark.createDataFrame([(n,) for n in names], "query string"), settings.start_year, year, cache, o.max_results))
+    plan = windows.withColumn("keywords", F.array().cast("array<string>")).select("query", "year_from", "year_to", "keywords", "count", "needs_split")
+    over = [r for r in windows.filter("needs_split and year_from = year_to and count > 0").collect()]  # a row a name and year
+    if not over:
+        return planner.leaves_to_tasks(plan, venue.id, o.max_results)
+    own = cut_lineage(planner.venue_documents(papers, venue.id))
+    every = planner.documents(papers) if every is None else every
+    configured = spark.createDataFrame([(k, i) for i, k in enumerate(settings.keywords, 1)] or [], "keyword string, rank int")
+    mined = cut_lineage(planner.mined_keywords(own, every, o.min_papers_to_trust, o.mining, ranking).select("keyword", "rank"))
+    solved: list[splitting.Leaf] = []
+    parts: list[DataFrame] = []
+    gone: list[tuple[str, int]] = []
+    for name in names:
+        mine = [r for r in over if r.query == name]
+        if not mine:
+            continue
+        stored = cut_lineage(planner.reused_leaves(store.read("tasks").filter(F.col("conference_id") == venue.id), name, spark.createDataFrame([(r.year_from, r["count"]) for r in mine], "year int, count long"), o.max_results))
+        kept = {r.year_from for r in stored.select("year_from").distinct().collect()}
+        parts.append(stored)
+        oracle = splitting.CountOracle.of(cache.filter(T.has_base(F.col("query"), F.lit(name)) & (F.col("year_from") == F.col("year_to"))))
+        pool = cut_lineage(planner.keyword_pool(mined, configured, planner.texts(own), F.lit(name), o.max_side_fraction))
+        for r in mine:
+            if r.year_from in kept:
+                gone.append((name, r.year_from))
+                continue
+            ok, leaves = planner.plan_year(own.filter(F.col("year") == r.year_from), name, r.year_from, r["count"], pool, oracle, o)
+            if ok:
+                gone.append((name, r.year_from))
+                solved += leaves
+    replaced = spark.createDataFrame(gone or [], "query string, year_from int").withColumn("year_to", F.col("year_from"))
+    plan = plan.join(F.broadcast(replaced), ["query", "year_from", "year_to"], "left_anti").select(plan.columns)
+    plan = plan.unionByName(spark.createDataFrame([(x.query, x.year_from, x.year_to, list(x.keywords), x.count, x.needs_split) for x in solved] or [], "query string, year_from int, year_to int, keywords array<string>, count long, needs_split boolean"))
+    for part in parts:
+        plan = plan.unionByName(part.select(plan.columns))
+    return planner.leaves_to_tasks(plan, venue.id, o.max_results)
+
+
+def emit(store: Store, venue, plan: DataFrame) -> None:
+    """Makes a venue's plan current: its leaves are tasks, and open tasks outside it are superseded or gone, in one commit."""
+    plan = cut_lineage(plan)
+    tasks = store.read("tasks")
+    mine = tasks.filter(F.col("conference_id") == venue.id)
+    none = store.spark.createDataFrame([], "conference_id long, query string")
+    actions = cut_lineage(dml.replace_plan(mine, plan, store.read("page_html"), none))  # all names of the venue are in the plan
+    kept, papers = dml.drop_stale(tasks, store.read("papers"), actions)
+    store.commit(tasks=dml.upsert_tasks(kept, plan), papers=papers)
+
+
+def backfill(store: Store, ratio: float) -> DataFrame:
+    """Links rebuilt from the archived pages, and completed tasks judged again by what they served: (id, got, total_results_estimate) of those now incomplete."""
+    linked = replay_links(parse_pages(store.read("page_html")))
+    have = store.read("paper_tasks")
+    links = cut_lineage(have.unionByName(dml.insert_or_ignore(have, linked, ["hash", "task_id"])))
+    short = cut_lineage(stats.shortfall(store.read("tasks"), stats.links(store.read("papers"), links), ratio))
+    store.commit(paper_tasks=links, tasks=dml.judge_completed(store.read("tasks"), short))
+    return short
 
 
 def main() -> None:
@@ -77,14 +148,21 @@ def main() -> None:
     for root in o.merge:
         merge_stores(store, store.attach(root)).show()
     if o.backfill_tasks:
-        linked = replay_links(parse_pages(store.read("page_html")))
-        have = store.read("paper_tasks")
-        store.commit(paper_tasks=have.unionByName(dml.insert_or_ignore(have, linked, ["hash", "task_id"])))
+        print(f"{backfill(store, settings.min_completion_ratio if settings else 0.5).count()} completed tasks are incomplete")
     if o.rerun_shortfall:
-        store.commit(tasks=dml.requeue(store.read("tasks"), ("incomplete", "error"), clear_error=True))
+        hit = store.read("tasks")
+        if o.conference:
+            hit = hit.join(select(store.read("conferences"), o.conference).select(F.col("id").alias("conference_id")), "conference_id", "left_semi")
+        again = dml.requeue(hit, ("incomplete", "error"), clear_error=True)
+        print(f"{dml.requeued(hit, ('incomplete', 'error'))} tasks are pending again")
+        store.commit(tasks=store.read("tasks").join(hit.select("id"), "id", "left_anti").unionByName(again.select(store.read("tasks").columns)))
     if o.gen_tasks and settings:
+        every = cut_lineage(planner.documents(store.read("papers")))
+        ranking, fresh = planner.corpus_ranking(store.read("papers"), store.read("keyword_rank"), limits(settings).mining)
+        if fresh is not None:
+            store.commit(keyword_rank=fresh)
         for venue in select(store.read("conferences"), o.conference).select("id", "name").toLocalIterator():
-            store.commit(tasks=dml.upsert_tasks(store.read("tasks"), generate(store, venue, settings)))
+            emit(store, venue, generate(store, venue, settings, every, ranking))
     if o.status:
         stats.status_counts(store.read("tasks"), store.read("conferences"), store.read("papers")).show(vertical=True)
         stats.venue_rollup(select(store.read("conferences"), o.conference), store.read("papers"), store.read("tasks")).show(200, truncate=False)

@@ -22,13 +22,15 @@ def _side(df: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
     for i in range(len(fields)):
         c = F.col(f"_{i}")
         aggs += [F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"), F.max(c.isNull()).alias(f"_null{i}")]
-    return picked.groupBy(F.coalesce("_key", F.lit(0)).alias("_k"), F.col("_key").isNull().alias("_kn")).agg(*aggs)
+    kind = df.schema[key].dataType.simpleString()
+    none = F.lit("" if kind in ("string", "binary") else "1970-01-01" if kind.startswith(("date", "timestamp")) else "0").cast(kind)
+    return picked.groupBy(F.coalesce("_key", none).alias("_k"), F.col("_key").isNull().alias("_kn")).agg(*aggs)
 
 
 def table_diff(left: DataFrame, right: DataFrame, key: str, fields: Mapping[str, tuple[Column, Column] | None]) -> DataFrame:
-    """Rows (key BIGINT, side STRING, diffs ARRAY<STRUCT<field, left_value, right_value>>), for differing keys only.
+    """Rows (key, side STRING, diffs ARRAY<STRUCT<field, left_value, right_value>>), for differing keys only.
 
-    left, right: two copies of a table with an integer key. fields: name -> the normalised column on each side, or None
+    left, right: two copies of a table with a key of one type, a number, text or date. fields: name -> the normalised column on each side, or None
     for ``plain`` of the column of that name on both.
     side is ``only_left`` or ``only_right`` for a key missing on the other side (diffs is then empty), else ``both``.
 

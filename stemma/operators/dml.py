@@ -36,11 +36,11 @@ def no_zero(c: Column) -> Column:
 def heal_papers(sightings: DataFrame) -> DataFrame:
     """One row a hash from sightings in order of arrival (seq).
 
-    The first sighting fixes title, authors, year, snippet, citations, url, id and html. task_id and conference_id are
+    The first sighting fixes title, authors, year, snippet, citations, url, id, html and time. task_id and conference_id are
     those of the first sighting that has one; the source becomes ``crawl`` once a task is known to a paper that came
     without one. One aggregation, combined before the shuffle: a hash seen very often is no hot key.
     """
-    frozen = ("title", "authors", "year", "snippet", "source_url", "scholar_id")
+    frozen = ("title", "authors", "year", "snippet", "source_url", "scholar_id", "raw_html", "scraped_at")
     rows = sightings.withColumns({"_task": no_zero(F.col("task_id")), "_conf": no_zero(F.col("conference_id"))}).withColumn("_src", source_of(F.col("sourced_from"), F.col("_task")))
     seq = F.col("seq")
     aggs = [F.min_by(c, seq).alias(c) for c in frozen]
@@ -77,11 +77,34 @@ def same_key(a: str, b: str, on: tuple[str, ...]) -> Column:
     return out
 
 
+def key_text(alias: str) -> Column:
+    """The natural key of a task as one text, of which new ids are made."""
+    parts = [F.coalesce((F.array_join(c, "\x1e") if k == "keywords" else c).cast("string"), F.lit("~")) for k in TASK_KEY for c in (F.col(f"{alias}.{k}"),)]
+    return F.concat_ws("\x1f", *parts)
+
+
+def fresh_id(key: Column) -> Column:
+    """An id below 2 ** 60 made from a natural key: the same whenever and wherever it is made."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+
+def settle_ids(rows: DataFrame, known: Column, key: Column) -> DataFrame:
+    """rows with an id of their own each: one that was made from a key and is taken is made again from key and rank.
+
+    known: was the id there before? Such ids are unique and stay. Groups of equal ids are single rows but for a clash.
+    """
+    order = Window.partitionBy("id").orderBy(F.col("_known").desc(), "_key")
+    ranked = rows.withColumns({"_known": known, "_key": key}).withColumn("_rank", F.row_number().over(order))
+    again = fresh_id(F.concat_ws("\x1d", "_key", F.col("_rank").cast("string")))
+    return ranked.withColumn("id", F.when(F.col("_rank") > 1, again).otherwise(F.col("id"))).drop("_known", "_key", "_rank")
+
+
 def upsert_tasks(current: DataFrame, plan: DataFrame) -> DataFrame:
     """The task table after a new plan (natural key TASK_KEY).
 
     A planned task that exists keeps completed and error; any other status becomes the plan's. One that needed a split
-    and now is pending starts again at page 1; else the page stays. Estimates take the plan's value if it has one.
+    and now is pending starts again at page 1; else the page stays. Estimates are the plan's, unknown ones too. A new
+    task has an id made from its key.
     """
     a, b = current.alias("a"), plan.dropDuplicates(list(TASK_KEY)).alias("b")
     both = a.join(b, same_key("a", "b", TASK_KEY), "full_outer")
@@ -91,9 +114,9 @@ def upsert_tasks(current: DataFrame, plan: DataFrame) -> DataFrame:
     status = F.when(~have_new, old).when(~have_old, new).when(kept, old).otherwise(new)
     page = F.when(~have_old, F.lit(1)).when(have_new & (old == "needs_split") & (new == "pending"), F.lit(1)).otherwise(F.col("a.page"))
     keys = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in TASK_KEY]
-    estimate = F.coalesce(F.when(F.col("b.total_results_estimate") > 0, F.col("b.total_results_estimate")), F.col("a.total_results_estimate"))
-    made = F.xxhash64(*_key("b", TASK_KEY)).bitwiseAND(F.lit((1 << 62) - 1))
-    return both.select(F.coalesce("a.id", "b.id", made).alias("id"), *keys, page.alias("page"), status.alias("status"), estimate.alias("total_results_estimate"), F.when(have_old, F.col("a.error")).alias("error"))
+    estimate = F.when(have_new, F.col("b.total_results_estimate")).otherwise(F.col("a.total_results_estimate"))
+    out = both.select(F.coalesce("a.id", fresh_id(key_text("b"))).alias("id"), *keys, page.alias("page"), status.alias("status"), estimate.alias("total_results_estimate"), F.when(have_old, F.col("a.error")).otherwise("").alias("error"), have_old.alias("_old"))
+    return settle_ids(out.alias("t"), F.col("_old"), key_text("t")).drop("_old")
 
 
 def replace_plan(tasks: DataFrame, keep: DataFrame, pages: DataFrame, other_names: DataFrame) -> DataFrame:
@@ -116,6 +139,35 @@ def requeue(tasks: DataFrame, from_status: tuple[str, ...], clear_error: bool =
     return out.withColumn("status", F.when(hit, "pending").otherwise(F.col("status")))
 
 
+def requeued(tasks: DataFrame, from_status: tuple[str, ...]) -> int:
+    """How many tasks ``requeue`` changes."""
+    return tasks.filter(F.col("status").isin(*from_status)).count()
+
+
+def judge_completed(tasks: DataFrame, short: DataFrame) -> DataFrame:
+    """tasks of which the completed ones in short (id, got, total_results_estimate) are incomplete, with the reason."""
+    why = F.format_string("under-delivered: got %d of ~%d estimated results", "got", "total_results_estimate")
+    return change_tasks(tasks, short.select("id", F.lit("incomplete").alias("status"), why.alias("error"), F.lit(None).cast("int").alias("page")))
+
+
+def change_tasks(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """tasks after changes (id, status, error, page), of which a null leaves what is there; one change a task.
+
+    This is how a task starts running, moves its page pointer, ends, needs a split or comes out incomplete, with a reason.
+    """
+    one = changes.groupBy("id").agg(*(F.max(c).alias(f"_{c}") for c in ("status", "error", "page")))
+    joined = tasks.join(one, "id", "left")
+    return joined.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in ("status", "error", "page") else F.col(c) for c in tasks.columns))
+
+
+def drop_stale(tasks: DataFrame, papers: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tasks, papers) after the actions of ``replace_plan``: a superseded task says so, a deleted one is gone from both."""
+    gone = actions.filter("action = 'deleted'").select("id")
+    marked = actions.filter("action = 'superseded'").select("id", F.lit("superseded").alias("status"), F.lit("not in the current plan").alias("error"), F.lit(None).cast("int").alias("page"))
+    freed = papers.join(gone.withColumn("_gone", F.lit(True)), F.col("task_id") == F.col("id"), "left").withColumn("task_id", F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("task_id"))).drop("id", "_gone")
+    return change_tasks(tasks.join(gone, "id", "left_anti"), marked), freed
+
+
 def reconcile_pages(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, page): the page after the last one stored, 1 without any."""
     last = pages.groupBy(F.col("task_id").alias("id")).agg(F.max("page_number").alias("_last"))
@@ -123,9 +175,14 @@ def reconcile_pages(tasks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def newest(current: DataFrame, incoming: DataFrame, key: list[str], value: str, at: str) -> DataFrame:
-    """The value of each key by the newest timestamp; a row already there wins ties."""
+    """The value of each key by the newest timestamp, and change (added, updated, same); a row already there wins ties.
+
+    A null timestamp is older than any other.
+    """
     both = current.select(*key, value, at, F.lit(1).alias("_own")).unionByName(incoming.select(*key, value, at, F.lit(0).alias("_own")))
-    return both.groupBy(*key).agg(F.max_by(value, F.struct(at, "_own")).alias(value), F.max(at).alias(at))
+    best = both.groupBy(*key).agg(F.max(F.struct(F.col(at), F.col("_own"), F.col(value))).alias("_m"), F.max("_own").alias("_had"))
+    change = F.when(F.col("_had") == 0, "added").when(F.col("_m._own") == 0, "updated").otherwise("same")
+    return best.select(*key, F.col(f"_m.{value}").alias(value), F.col(f"_m.{at}").alias(at), change.alias("change"))
 
 
 def rank_scores(ranked: DataFrame, corpus_size: Column) -> DataFrame:
@@ -169,8 +226,8 @@ def upsert_venues(conferences: DataFrame, incoming: DataFrame) -> DataFrame:
     """Venues by name after incoming (name, query, type): known ones take the new query and type and keep their id."""
     b = incoming.dropDuplicates(["name"]).select("name", F.col("query").alias("_q"), F.col("type").alias("_t"))
     both = conferences.join(b, "name", "full_outer")
-    new_id = F.xxhash64("name").bitwiseAND(F.lit((1 << 62) - 1))
-    return both.select(F.coalesce("id", new_id).alias("id"), "name", F.coalesce("_q", "query").alias("query"), F.coalesce("_t", "type", F.lit("conference")).alias("type"))
+    out = both.select(F.coalesce("id", fresh_id(F.col("name"))).alias("id"), "name", F.coalesce("_q", "query").alias("query"), F.coalesce("_t", "type", F.lit("conference")).alias("type"), F.col("id").isNotNull().alias("_old"))
+    return settle_ids(out, F.col("_old"), F.col("name")).drop("_old")
 
 
 def stored_ranking(ranked: DataFrame, corpus_size: int) -> DataFrame:

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stemma.operators.dml import TASK_KEY, no_zero, same_key, status_rank
+from stemma.operators.dml import TASK_KEY, fresh_id, key_text, no_zero, same_key, settle_ids, status_rank
 
 
-def conference_map(own: DataFrame, other: DataFrame) -> DataFrame:
-    """(src_id, dst_id, is_new) by venue name; a venue unknown here keeps an id derived from its name."""
-    a, b = own.select("name", F.col("id").alias("dst")), other.select("name", F.col("id").alias("src_id"))
-    new_id = F.xxhash64("name").bitwiseAND(F.lit((1 << 62) - 1))
-    return b.join(a, "name", "left").select("src_id", F.coalesce("dst", new_id).alias("dst_id"), F.col("dst").isNull().alias("is_new"))
+def merge_conferences(own: DataFrame, other: DataFrame) -> DataFrame:
+    """Venues by name: those known here as they are, others with an id made from the name; change says added or same."""
+    have = own.select("id", "name", "query", "type", F.lit("same").alias("change"))
+    new = other.dropDuplicates(["name"]).join(own.select("name"), "name", "left_anti").select(fresh_id(F.col("name")).alias("id"), "name", "query", "type", F.lit("added").alias("change"))
+    return settle_ids(have.unionByName(new), F.col("change") == "same", F.col("name"))
 
 
-def merge_conferences(own: DataFrame, other: DataFrame) -> DataFrame:
-    added = other.join(own.select("name"), "name", "left_anti").select(F.xxhash64("name").bitwiseAND(F.lit((1 << 62) - 1)).alias("id"), "name", "query", "type")
-    return own.select("id", "name", "query", "type").unionByName(added)
+def conference_map(merged: DataFrame, other: DataFrame) -> DataFrame:
+    """(src_id, dst_id, is_new): the ids of the other store's venues, and those they have in the merged table."""
+    a = merged.select("name", F.col("id").alias("dst_id"), (F.col("change") == "added").alias("is_new"))
+    return other.select("name", F.col("id").alias("src_id")).join(a, "name").select("src_id", "dst_id", "is_new")
 
 
 def merge_aliases(own: DataFrame, other: DataFrame, conf_map: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def merge_tasks(own: DataFrame, other: DataFrame) -> DataFrame:
     """The task table after the merge: (TASK_KEY, id, page, status, total_results_estimate, error, change).
 
     The status of higher rank wins and brings its error text; a running task elsewhere counts as pending. The later page
-    wins; the own estimate stays unless it is missing or not positive. change: ``added``, ``updated`` or ``same``.
+    wins; the own estimate stays unless it is missing or not positive. change: ``added``, ``updated`` or ``same``. The
+    other store's ids mean nothing here: an added task has an id made from its key, and no two tasks share one.
     """
     theirs = other.withColumn("status", F.when(F.trim(F.lower("status")) == "running", "pending").otherwise(F.trim(F.lower("status"))))
     b = theirs.groupBy(*TASK_KEY).agg(F.max_by(F.struct("id", "page", "status", "total_results_estimate", "error"), F.struct(status_rank(F.col("status")), F.coalesce("page", F.lit(0)), -F.col("id"))).alias("r")).select(*TASK_KEY, "r.*").alias("b")
@@ -42,25 +44,42 @@ def merge_tasks(own: DataFrame, other: DataFrame) -> DataFrame:
     same = status.eqNullSafe(F.col("a.status")) & page.eqNullSafe(F.col("a.page")) & estimate.eqNullSafe(F.col("a.total_results_estimate"))
     change = F.when(~mine, "added").when(has & ~same, "updated").otherwise("same")
     keys = [F.when(mine, F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in TASK_KEY]
-    return both.select(*keys, F.coalesce("a.id", "b.id").alias("id"), page.alias("page"), status.alias("status"), estimate.alias("total_results_estimate"), error.alias("error"), change.alias("change"))
+    out = both.select(*keys, F.coalesce("a.id", fresh_id(key_text("b"))).alias("id"), page.alias("page"), status.alias("status"), estimate.alias("total_results_estimate"), error.alias("error"), change.alias("change"))
+    return settle_ids(out.alias("t"), F.col("change") != "added", key_text("t"))
+
+
+def task_map(merged: DataFrame, other: DataFrame) -> DataFrame:
+    """(src_id, dst_id): the ids of the other store's tasks (with venues of this one), and those they have in the merged table."""
+    return merged.alias("a").join(other.alias("b"), same_key("a", "b", TASK_KEY)).select(F.col("b.id").alias("src_id"), F.col("a.id").alias("dst_id"))
+
+
+def merge_links(own: DataFrame, other: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(hash, task_id, change): own links and those of the other store under the own task ids, each once."""
+    moved = other.join(tasks, F.col("task_id") == F.col("src_id")).select("hash", F.col("dst_id").alias("task_id")).distinct()
+    added = moved.join(own.select("hash", "task_id"), ["hash", "task_id"], "left_anti")
+    return own.select("hash", "task_id", F.lit("same").alias("change")).unionByName(added.withColumn("change", F.lit("added")))
 
 
-def merge_pages(own: DataFrame, other: DataFrame, task_map: DataFrame) -> DataFrame:
-    """Own pages and those of the other store under the own task ids; the own page wins."""
-    moved = other.join(task_map, F.col("task_id") == F.col("src_id")).select(F.col("dst_id").alias("task_id"), "page_number", "html", "scraped_at")
-    return own.select("task_id", "page_number", "html", "scraped_at").unionByName(moved.dropDuplicates(["task_id", "page_number"]).join(own, ["task_id", "page_number"], "left_anti").select("task_id", "page_number", "html", "scraped_at"))
+def merge_pages(own: DataFrame, other: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Own pages and those of the other store under the own task ids, and change; the own page wins."""
+    cols = ("task_id", "page_number", "html", "scraped_at")
+    moved = other.join(tasks, F.col("task_id") == F.col("src_id")).select(F.col("dst_id").alias("task_id"), *cols[1:])
+    added = moved.dropDuplicates(["task_id", "page_number"]).join(own, ["task_id", "page_number"], "left_anti")
+    return own.select(*cols, F.lit("same").alias("change")).unionByName(added.select(*cols, F.lit("added").alias("change")))
 
 
-def merge_papers(own: DataFrame, other: DataFrame, known_tasks: DataFrame) -> DataFrame:
+def merge_papers(own: DataFrame, other: DataFrame, tasks: DataFrame) -> DataFrame:
     """Papers by hash: unknown ones come in, shared ones are healed; change says ``added`` or ``same``.
 
-    own and other: one row a hash with citations, task_id, conference_id, sourced_from and texts. known_tasks: (task_id).
-    Missing references are filled, the larger citation count stays, empty texts are filled; a paper that gets its first
-    task comes from ``crawl``, one whose task is unknown here from ``plan``.
+    own and other: one row a hash with citations, task_id, conference_id, sourced_from and texts. tasks: (src_id, dst_id)
+    of ``task_map``. Missing references are filled, the larger citation count stays, empty texts are filled, the page's
+    markup among them; the time stays that of the own row. A paper that gets its first task comes from ``crawl``, one
+    whose task is unknown here has none and comes from ``plan``.
     """
-    texts = [c for c in ("title", "authors", "snippet", "source_url", "scholar_id") if c in own.columns and c in other.columns]
-    known = known_tasks.select(F.col("task_id").alias("_known")).distinct()
-    b = other.join(known, no_zero(F.col("task_id")) == F.col("_known"), "left")
+    texts = [c for c in ("title", "authors", "snippet", "source_url", "scholar_id", "raw_html") if c in own.columns and c in other.columns]
+    times = [c for c in ("scraped_at",) if c in own.columns and c in other.columns]
+    known = tasks.select(F.col("src_id").alias("_src"), F.col("dst_id").alias("_known")).dropDuplicates(["_src"])
+    b = other.join(known, no_zero(F.col("task_id")) == F.col("_src"), "left")
     b = b.withColumn("sourced_from", F.when(F.col("_known").isNull() & no_zero(F.col("task_id")).isNotNull(), "plan").otherwise(F.col("sourced_from"))).withColumn("task_id", F.col("_known"))
     both = own.alias("a").join(b.alias("b"), F.col("a.hash") == F.col("b.hash"), "full_outer")
     mine = F.col("a.hash").isNotNull()
@@ -75,6 +94,7 @@ def merge_papers(own: DataFrame, other: DataFrame, known_tasks: DataFrame) -> Da
         F.coalesce(task_a, task_b).alias("task_id"),
         F.coalesce(no_zero(F.col("a.conference_id")), no_zero(F.col("b.conference_id"))).alias("conference_id"),
         source.alias("sourced_from"),
+        *(F.when(mine, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in times),
         F.when(mine, "same").otherwise("added").alias("change"),
     )
 

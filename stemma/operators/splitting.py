@@ -12,7 +12,8 @@ Chain = tuple[str, ...]
 
 @dataclass
 class CountOracle:
-    """Answers (query, from, to) from a table of counts; every answer costs one of the budget's probes, known or not."""
+    """Answers (query, from, to) from a table of counts. A known count is free; asking for an unknown one costs one of the
+    budget's probes, since a search would be made for it, and gives None."""
 
     counts: dict[tuple[str, int, int], int]
     budget: int | None = None
@@ -76,11 +77,16 @@ def split_leaf(
 ) -> tuple[bool, list[Leaf]]:
     """Splits a leaf that exceeds ``limit`` into leaves with and without keywords; (success, leaves).
 
+    An empty query or a balance outside [0, 1] is an error.
+
     At each node up to ``probes`` counted keywords are tried, the first that leaves no side above side_share at once,
     else the best balanced; a vetoed keyword costs nothing, an unreadable count one probe. Both sides are always
     followed, the side with the keyword first; success needs both.
     """
 
+    if not base or not 0 <= min_balance <= 1:
+        raise ValueError("a leaf has a query, and min_balance lies in [0, 1]")
+
     def grow(inc: Chain, exc: Chain, size: int, free: list[str], depth: int) -> tuple[bool, list[Leaf]]:
         if size <= 0:
             return True, []
@@ -125,6 +131,8 @@ def year_windows(names: DataFrame, year_from: int, year_to: int, counts: DataFra
     A window over the limit falls into single years; a single year over it, or a count that is not known, needs a split.
     counts: (query, year_from, year_to, count). An empty range has no windows.
     """
+    if limit < 1 or window < 1:
+        raise ValueError("limit and window are 1 at least")
     if year_to < year_from:
         return names.select("query", F.lit(0).alias("year_from"), F.lit(0).alias("year_to"), F.lit(0).cast("bigint").alias("count"), F.lit(False).alias("needs_split")).limit(0)
     starts = F.explode(F.sequence(F.lit(year_from), F.lit(year_to), F.lit(window))).alias("year_from")
@@ -147,37 +155,3 @@ def root_keyword(buckets: list[tuple[Chain, Chain]]) -> str | None:
     for inc, exc in buckets:
         shared = set(inc) | set(exc) if shared is None else shared & (set(inc) | set(exc))
     return next(iter(shared)) if shared and len(shared) == 1 else None
-
-
-def corpus_veto(texts: list[str], most: float) -> Callable[[Chain, Chain, str], bool]:
-    """Allows a keyword that divides the matching texts; without matching texts there is no evidence against it."""
-    low = [t.lower() for t in texts]
-
-    def allow(inc: Chain, exc: Chain, word: str) -> bool:
-        subset = [t for t in low if all(w.lower() in t for w in inc) and not any(w.lower() in t for w in exc)]
-        held = sum(word.lower() in t for t in subset)
-        return not subset or 0 < held <= most * len(subset)
-
-    return allow
-
-
-def resolve_year(base: str, year: int, true_count: int, buckets: list[tuple[Chain, Chain]], unresolved: int, count: CountOracle, cap: int, fallback: Callable[[str, int], tuple[bool, list[Leaf]]] | None = None) -> tuple[bool, list[Leaf]]:
-    """Turns the buckets of a partitioned year into leaves, each verified by its count.
-
-    A bucket below the cap is a leaf; one at or above it is split on, with cap - 1, by fallback(query, count). Success
-    needs every bucket verified and nothing unresolved.
-    """
-    leaves: list[Leaf] = []
-    for inc, exc in buckets:
-        text = query_text(base, inc, exc)
-        n = count(text, year, year)
-        if n is None or count.exhausted:
-            return False, []
-        if n < cap:
-            leaves.append(Leaf(text, year, year, inc + exc, n, False))
-            continue
-        ok, more = fallback(text, n) if fallback else (False, [])
-        if not ok:
-            return False, []
-        leaves += [Leaf(x.query, year, year, inc + exc + x.keywords, x.count, False) for x in more]
-    return (True, leaves) if unresolved == 0 and leaves else (False, [])

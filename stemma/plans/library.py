@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stemma.functions import text as T
 from stemma.operators import dml, merge, mining, partition, planner, splitting, stats
-from stemma.session import table
+from stemma.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,11 +279,12 @@ def event_windows(get: Get) -> DataFrame:
 
 
 @query("""SELECT hash, first(title ORDER BY seq) AS title, first(authors ORDER BY seq) AS authors, first(year ORDER BY seq) AS year, first(coalesce(citations, 0) ORDER BY seq) AS citations,
+ first(raw_html ORDER BY seq) AS raw_html, epoch_us(first(scraped_at ORDER BY seq)) AS scraped_us,
  first(task_id ORDER BY seq) FILTER (WHERE task_id <> 0) AS task_id, first(conference_id ORDER BY seq) FILTER (WHERE conference_id <> 0) AS conference_id,
  CASE WHEN first(coalesce(task_id, 0) ORDER BY seq) = 0 AND count(*) FILTER (WHERE task_id <> 0) > 0 THEN 'crawl'
   ELSE first(coalesce(sourced_from, CASE WHEN coalesce(task_id, 0) <> 0 THEN 'crawl' ELSE 'plan' END) ORDER BY seq) END AS sourced_from FROM papers GROUP BY hash""")
 def paper_heal(get: Get) -> DataFrame:
-    return dml.heal_papers(get("papers")).select("hash", "title", "authors", "year", "citations", "task_id", "conference_id", "sourced_from")
+    return dml.heal_papers(get("papers")).select("hash", "title", "authors", "year", "citations", "raw_html", F.unix_micros("scraped_at").alias("scraped_us"), "task_id", "conference_id", "sourced_from")
 
 
 @query("""SELECT task_id, count(*) AS added FROM (SELECT DISTINCT hash, task_id FROM papers_copy WHERE task_id <> 0 AND hash IS NOT NULL EXCEPT SELECT hash, task_id FROM papers WHERE task_id <> 0) GROUP BY 1""")
@@ -305,10 +306,15 @@ def _plan(get: Get) -> DataFrame:
     return get("tasks_copy").groupBy(*dml.TASK_KEY).agg(F.min("id").alias("id"), F.min(plain).alias("status"), F.max("total_results_estimate").alias("total_results_estimate"))
 
 
-@query(f"""WITH {_PLAN} SELECT coalesce(c.id, p.id) AS id, CASE WHEN p.k IS NULL THEN c.status WHEN c.k IS NULL THEN p.status WHEN c.status IN ('completed', 'error') THEN c.status ELSE p.status END AS status,
+def _fresh(key: str) -> str:
+    """The id that is made from a key."""
+    return f"('0x' || substr(md5({key}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH {_PLAN} SELECT coalesce(c.id, {_fresh('p.k')}) AS id, CASE WHEN p.k IS NOT NULL THEN p.est ELSE c.total_results_estimate END AS total_results_estimate, CASE WHEN p.k IS NULL THEN c.status WHEN c.k IS NULL THEN p.status WHEN c.status IN ('completed', 'error') THEN c.status ELSE p.status END AS status,
  CASE WHEN c.k IS NULL THEN 1 WHEN p.k IS NOT NULL AND c.status = 'needs_split' AND p.status = 'pending' THEN 1 ELSE c.page END AS page FROM cur c FULL JOIN plan p ON c.k = p.k""")
 def task_upsert(get: Get) -> DataFrame:
-    return dml.upsert_tasks(get("tasks"), _plan(get)).select("id", "status", "page")
+    return dml.upsert_tasks(get("tasks"), _plan(get)).select("id", "total_results_estimate", "status", "page")
 
 
 @query(f"""WITH {_PLAN} SELECT c.id, CASE WHEN c.id IN (SELECT task_id FROM papers WHERE task_id IS NOT NULL) THEN 'superseded' ELSE 'deleted' END AS action FROM cur c
@@ -318,6 +324,33 @@ def task_prune(get: Get) -> DataFrame:
     return dml.replace_plan(get("tasks"), _plan(get), get("papers").select("task_id"), get("conference_aliases"))
 
 
+@query(f"""WITH {_PLAN}, gone AS (SELECT id, action FROM ({SQL['task_prune'].replace(f'WITH {_PLAN}', '')}))
+SELECT 'tasks' AS tbl, count(*) AS n, count(*) FILTER (WHERE id IN (SELECT id FROM gone WHERE action = 'superseded') OR status = 'superseded' AND error = 'not in the current plan') AS changed FROM tasks WHERE id NOT IN (SELECT id FROM gone WHERE action = 'deleted')
+UNION ALL SELECT 'papers', count(*), count(*) FILTER (WHERE task_id IN (SELECT id FROM gone WHERE action = 'deleted')) FROM papers""")
+def stale_tasks(get: Get) -> DataFrame:
+    """What is left of tasks and papers once open tasks outside the plan are superseded or gone."""
+    actions = dml.replace_plan(get("tasks"), _plan(get), get("papers").select("task_id"), get("conference_aliases"))
+    tasks, papers = dml.drop_stale(get("tasks"), get("papers"), actions)
+    one = tasks.agg(F.count("*").alias("n"), F.count_if((F.col("status") == "superseded") & (F.col("error") == "not in the current plan")).alias("changed"))
+    freed = papers.join(get("papers").select("seq", F.col("task_id").alias("_was")), "seq")
+    two = freed.agg(F.count("*").alias("n"), F.count_if(F.col("task_id").isNull() & F.col("_was").isNotNull()).alias("changed"))
+    return one.select(F.lit("tasks").alias("tbl"), "n", "changed").unionByName(two.select(F.lit("papers").alias("tbl"), "n", "changed"))
+
+
+@query("""SELECT t.id, coalesce(c.status, t.status) AS status, coalesce(c.error, t.error) AS error, coalesce(c.page, t.page) AS page FROM tasks t
+ LEFT JOIN (SELECT id, max(status) AS status, max(error) AS error, max(page) AS page FROM tasks_copy GROUP BY id) c ON c.id = t.id""")
+def task_changes(get: Get) -> DataFrame:
+    return dml.change_tasks(get("tasks"), get("tasks_copy").select("id", "status", "error", "page")).select("id", "status", "error", "page")
+
+
+@query("""WITH l AS (SELECT task_id AS id, count(DISTINCT hash) AS got FROM papers WHERE task_id <> 0 GROUP BY 1), s AS (SELECT t.id, coalesce(got, 0) AS got, total_results_estimate AS e FROM tasks t LEFT JOIN l USING (id)
+ WHERE status = 'completed' AND total_results_estimate > 0 AND coalesce(got, 0) < total_results_estimate * 0.5)
+SELECT t.id, CASE WHEN s.id IS NOT NULL THEN 'incomplete' ELSE t.status END AS status, CASE WHEN s.id IS NOT NULL THEN 'under-delivered: got ' || s.got || ' of ~' || s.e || ' estimated results' ELSE t.error END AS error FROM tasks t LEFT JOIN s ON s.id = t.id""")
+def judged_again(get: Get) -> DataFrame:
+    """Completed tasks judged by what they served."""
+    return dml.judge_completed(get("tasks"), stats.shortfall(get("tasks"), stats.links(get("papers")), 0.5)).select("id", "status", "error")
+
+
 @query("SELECT id, CASE WHEN status IN ('incomplete', 'error') THEN 'pending' ELSE status END AS status, CASE WHEN status IN ('incomplete', 'error') THEN NULL ELSE error END AS error, page FROM tasks")
 def rerun_shortfall(get: Get) -> DataFrame:
     return dml.requeue(get("tasks"), ("incomplete", "error"), clear_error=True).select("id", "status", "error", "page")
@@ -339,18 +372,17 @@ def backfill(get: Get) -> DataFrame:
     return dml.backfill_conferences(get("papers"), get("tasks")).select("seq", "conference_id", "citations")
 
 
-@query("""SELECT hash, first(citations ORDER BY scraped_at DESC NULLS LAST, own DESC, seq DESC) AS citations FROM (SELECT hash, citations, scraped_at, 1 AS own, seq FROM papers WHERE scraped_at IS NOT NULL
- UNION ALL SELECT hash, citations, scraped_at, 0, seq FROM papers_copy WHERE scraped_at IS NOT NULL) WHERE hash IS NOT NULL GROUP BY hash""")
+@query("""SELECT hash, first(citations ORDER BY scraped_at DESC NULLS LAST, own DESC, seq DESC) AS citations, CASE WHEN max(own) = 0 THEN 'added' WHEN first(own ORDER BY scraped_at DESC NULLS LAST, own DESC, seq DESC) = 0 THEN 'updated' ELSE 'same' END AS change
+ FROM (SELECT hash, citations, scraped_at, 1 AS own, seq FROM papers UNION ALL SELECT hash, citations, scraped_at, 0, seq FROM papers_copy) WHERE hash IS NOT NULL GROUP BY hash""")
 def newest_counts(get: Get) -> DataFrame:
-    side = lambda n: get(n).filter("scraped_at is not null and hash is not null").withColumn("at", F.struct("scraped_at", "seq"))
-    at = lambda n, own: side(n).select("hash", "citations", F.struct("scraped_at", F.lit(own).alias("o"), "seq").alias("at"))
-    return dml.newest(at("papers", 1), at("papers_copy", 0), ["hash"], "citations", "at").select("hash", "citations")
+    side = lambda n, own: get(n).filter("hash is not null").select("hash", "citations", F.struct("scraped_at", F.lit(own).alias("o"), "seq").alias("at"))
+    return dml.newest(side("papers", 1), side("papers_copy", 0), ["hash"], "citations", "at").select("hash", "citations", "change")
 
 
-@query("""SELECT conference_id, query, ord FROM conference_aliases WHERE conference_id % 2 = 1 OR conference_id NOT IN (SELECT id FROM conferences WHERE type = 'journal' AND id % 2 = 0)
- UNION ALL SELECT id, '"' || name || '"', 1 FROM conferences WHERE type = 'journal' AND id % 2 = 0""")
+@query("""SELECT conference_id, query, ord FROM conference_aliases WHERE conference_id NOT IN (SELECT id FROM conferences WHERE type = 'journal')
+ UNION ALL SELECT id, '"' || name || '"', 1 FROM conferences WHERE type = 'journal'""")
 def alias_replace(get: Get) -> DataFrame:
-    new = get("conferences").filter("type = 'journal' and id % 2 = 0").select(F.col("id").alias("conference_id"), F.concat(F.lit('"'), "name", F.lit('"')).alias("query"), F.lit(1).alias("ord"))
+    new = get("conferences").filter("type = 'journal'").select(F.col("id").alias("conference_id"), F.concat(F.lit('"'), "name", F.lit('"')).alias("query"), F.lit(1).alias("ord"))
     return dml.replace_aliases(get("conference_aliases"), new)
 
 
@@ -365,10 +397,13 @@ def already_complete(get: Get) -> DataFrame:
     return dml.already_complete(get("tasks"), stats.links(get("papers")))
 
 
-@query("""SELECT c.id, c.name, CASE WHEN c.id % 2 = 0 THEN 'source:"' || c.name || '"' ELSE c.query END AS query, CASE WHEN c.id % 2 = 0 THEN 'journal' ELSE c.type END AS type FROM conferences c""")
+@query(f"""SELECT id, name, 'source:"' || name || '"' AS query, 'journal' AS type FROM conferences
+ UNION ALL SELECT {_fresh('query')}, query, query, 'conference' FROM (SELECT DISTINCT query FROM conference_aliases) WHERE query NOT IN (SELECT name FROM conferences)""")
 def venue_upsert(get: Get) -> DataFrame:
-    new = get("conferences").filter("id % 2 = 0").select("name", F.concat(F.lit('source:"'), "name", F.lit('"')).alias("query"), F.lit("journal").alias("type"))
-    return dml.upsert_venues(get("conferences"), new)
+    """All venues renamed, and every alias a venue of its own."""
+    known = get("conferences").select("name", F.concat(F.lit('source:"'), "name", F.lit('"')).alias("query"), F.lit("journal").alias("type"))
+    new = get("conference_aliases").select(F.col("query").alias("name"), "query", F.lit("conference").alias("type")).distinct()
+    return dml.upsert_venues(get("conferences"), known.unionByName(new.join(known.select("name"), "name", "left_anti")))
 
 
 # ---- merge of a second store
@@ -379,13 +414,15 @@ _RANK = "CASE {} WHEN 'completed' THEN 6 WHEN 'incomplete' THEN 5 WHEN 'needs_sp
 
 @query(rf"""WITH src0 AS (SELECT *, {_TKEY} AS k, trim(lower(status)) AS s0 FROM tasks_copy), src1 AS (SELECT * REPLACE (CASE WHEN s0 = 'running' THEN 'pending' ELSE s0 END AS status) FROM src0),
 src AS (SELECT * FROM src1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY {_RANK.format('status')} DESC, coalesce(page, 0) DESC, id) = 1), cur AS (SELECT *, {_TKEY} AS k FROM tasks),
-j AS (SELECT c.k AS ck, s.k AS sk, coalesce(c.id, s.id) AS id, c.status AS cs, c.page AS cp, c.total_results_estimate AS ce,
+j AS (SELECT c.k AS ck, s.k AS sk, coalesce(c.id, {_fresh('s.k')}) AS id, c.status AS cs, c.page AS cp, c.total_results_estimate AS ce,
  CASE WHEN c.k IS NULL OR (s.k IS NOT NULL AND {_RANK.format('s.status')} > {_RANK.format('c.status')}) THEN s.status ELSE c.status END AS status, greatest(c.page, s.page) AS page,
  CASE WHEN c.total_results_estimate > 0 THEN c.total_results_estimate WHEN s.k IS NULL THEN c.total_results_estimate ELSE coalesce(s.total_results_estimate, c.total_results_estimate) END AS total_results_estimate
  FROM cur c FULL JOIN src s ON c.k = s.k)
-SELECT id, status, page, total_results_estimate, CASE WHEN ck IS NULL THEN 'added' WHEN sk IS NOT NULL AND (status IS DISTINCT FROM cs OR page IS DISTINCT FROM cp OR total_results_estimate IS DISTINCT FROM ce) THEN 'updated' ELSE 'same' END AS change FROM j""")
+SELECT id, 1::BIGINT AS with_this_id, status, page, total_results_estimate, CASE WHEN ck IS NULL THEN 'added' WHEN sk IS NOT NULL AND (status IS DISTINCT FROM cs OR page IS DISTINCT FROM cp OR total_results_estimate IS DISTINCT FROM ce) THEN 'updated' ELSE 'same' END AS change FROM j""")
 def merge_tasks(get: Get) -> DataFrame:
-    return merge.merge_tasks(get("tasks"), get("tasks_copy")).select("id", "status", "page", "total_results_estimate", "change")
+    """Every task with the number of tasks that have its id, which must be 1."""
+    same = F.count("*").over(Window.partitionBy("id"))  # an id has one row
+    return merge.merge_tasks(get("tasks"), get("tasks_copy")).select("id", same.alias("with_this_id"), "status", "page", "total_results_estimate", "change")
 
 
 _SIDE = """(SELECT hash, first(year ORDER BY seq) AS year, first(coalesce(citations, 0) ORDER BY seq) AS citations, first(task_id ORDER BY seq) FILTER (WHERE task_id <> 0) AS task_id,
@@ -403,18 +440,26 @@ SELECT coalesce(o.hash, s.hash) AS hash, coalesce(o.year, s.year) AS year, great
  coalesce(o.conference_id, s.conference_id) AS conference_id, CASE WHEN o.hash IS NULL THEN s.sourced_from WHEN o.task_id IS NULL AND s.task_id IS NOT NULL THEN 'crawl' ELSE o.sourced_from END AS sourced_from,
  CASE WHEN o.hash IS NULL THEN 'added' ELSE 'same' END AS change FROM o FULL JOIN s ON o.hash = s.hash""")
 def merge_papers(get: Get) -> DataFrame:
-    return merge.merge_papers(_side(get("papers")), _side(get("papers_copy")), get("tasks").select(F.col("id").alias("task_id")))
+    return merge.merge_papers(_side(get("papers")), _side(get("papers_copy")), get("tasks").select(F.col("id").alias("src_id"), F.col("id").alias("dst_id")))
 
 
-@query("""WITH o AS (SELECT * FROM conferences WHERE id % 3 <> 0) SELECT c.id AS src_id, coalesce(o.id, -1) AS dst_id, o.id IS NULL AS is_new FROM conferences c LEFT JOIN o ON o.name = c.name""")
+@query(f"""SELECT c.id AS src_id, coalesce(o.id, {_fresh('c.name')}) AS dst_id, o.id IS NULL AS is_new FROM conferences c LEFT JOIN (SELECT * FROM conferences WHERE type = 'conference') o ON o.name = c.name""")
 def merge_venues(get: Get) -> DataFrame:
-    own = get("conferences").filter("id % 3 <> 0")
-    return merge.conference_map(own, get("conferences")).select("src_id", F.when(F.col("is_new"), F.lit(-1).cast("bigint")).otherwise(F.col("dst_id")).alias("dst_id"), "is_new")
+    """A store that knows conferences only takes in one that knows journals too."""
+    return merge.conference_map(merge.merge_conferences(get("conferences").filter("type = 'conference'"), get("conferences")), get("conferences"))
 
 
-@query("""SELECT 'tasks' AS tbl, change, count(*) AS n FROM (""" + SQL["merge_tasks"] + """) GROUP BY change""")
+@query("""WITH o AS (SELECT DISTINCT hash, task_id FROM papers WHERE task_id <> 0), s AS (SELECT DISTINCT hash, task_id FROM papers_copy WHERE hash IS NOT NULL AND task_id IN (SELECT id FROM tasks))
+SELECT hash, task_id, 'same' AS change FROM o UNION ALL SELECT hash, task_id, 'added' FROM (SELECT * FROM s EXCEPT SELECT * FROM o)""")
+def merge_links(get: Get) -> DataFrame:
+    links = lambda n: stats.links(get(n)).filter("hash is not null")
+    return merge.merge_links(links("papers"), links("papers_copy"), get("tasks").select(F.col("id").alias("src_id"), F.col("id").alias("dst_id")))
+
+
+@query("""SELECT 'tasks' AS tbl, change, count(*) AS n FROM (""" + SQL["merge_tasks"] + """) GROUP BY change UNION ALL SELECT 'papers', change, count(*) FROM (""" + SQL["merge_papers"] + """) GROUP BY change
+ UNION ALL SELECT 'counts', change, count(*) FROM (""" + SQL["newest_counts"] + """) GROUP BY change""")
 def merge_counts(get: Get) -> DataFrame:
-    return merge.merge_stats(tasks=merge.merge_tasks(get("tasks"), get("tasks_copy")))
+    return merge.merge_stats(tasks=merge_tasks(get), papers=merge_papers(get), counts=newest_counts(get))
 
 
 # ---- mining
@@ -442,19 +487,25 @@ def mine_phrases(get: Get) -> DataFrame:
     return mining.mine(documents_of(get), mining.MiningOptions(longest=3, phrase_boost=1.5)).select(F.col("rank").cast("bigint").alias("rank"), "keyword", "with_docs", "without_docs", F.round("balance", 9).alias("balance"))
 
 
-_VENUE = "seven AS (SELECT hash FROM papers WHERE conference_id = 7 GROUP BY hash)"
+_VENUE = "pairs AS (SELECT DISTINCT conference_id, hash FROM papers WHERE conference_id <> 0)"
+_VENUE_MINED = f"""{_HEALED}, {_VENUE}, toks AS (SELECT hash, {_WORDS.format("coalesce(title, '') || ' ' || coalesce(snippet, '')")} AS a FROM healed), terms AS (SELECT hash, unnest(list_distinct(list_filter(a, lambda x: {_CONTENT.format('x')}))) AS keyword FROM toks),
+bg AS (SELECT keyword, count(*) AS bg_df FROM terms GROUP BY 1), df AS (SELECT conference_id, keyword, count(*) AS df FROM terms JOIN pairs USING (hash) GROUP BY ALL), n AS (SELECT conference_id, count(*) AS total FROM pairs GROUP BY 1), b AS (SELECT count(*) AS bg_n FROM healed),
+cands AS (SELECT conference_id, keyword, df AS with_docs, total - df AS without_docs, total, {_BAL.format('df', '(total - df)')} AS balance, ln(1.0::DOUBLE + bg_n::DOUBLE / (1.0::DOUBLE + coalesce(bg_df, 0)::DOUBLE)) AS idf FROM df JOIN n USING (conference_id) LEFT JOIN bg USING (keyword), b
+ WHERE {_BAL.format('df', '(total - df)')} >= 0.15 AND df >= 3 AND df <= total * 0.95::DOUBLE), ranked AS (SELECT *, row_number() OVER (PARTITION BY conference_id ORDER BY round(balance * idf, 12) DESC, with_docs DESC, keyword) AS rank FROM cands),
+kept AS (SELECT * FROM ranked a WHERE NOT EXISTS (SELECT 1 FROM ranked b WHERE b.conference_id = a.conference_id AND b.rank > a.rank AND b.keyword <> a.keyword AND contains(b.keyword, a.keyword))),
+mined AS (SELECT conference_id, row_number() OVER (PARTITION BY conference_id ORDER BY rank) AS rank, keyword, with_docs, balance, idf FROM kept QUALIFY row_number() OVER (PARTITION BY conference_id ORDER BY rank) <= 200)"""
+
+
+def venue_texts(get: Get) -> DataFrame:
+    """(conference_id, hash, title, snippet): the documents of every venue."""
+    return documents_of(get).drop("conference_id").join(get("papers").filter("conference_id <> 0").select("conference_id", "hash").distinct(), "hash").select("conference_id", "hash", "title", "snippet")
 
 
-@query(f"""WITH {_HEALED}, {_VENUE}, toks AS (SELECT hash, {_WORDS.format("coalesce(title, '') || ' ' || coalesce(snippet, '')")} AS a FROM healed), terms AS (SELECT hash, unnest(list_distinct(list_filter(a, lambda x: {_CONTENT.format('x')}))) AS keyword FROM toks),
-bg AS (SELECT keyword, count(*) AS bg_df FROM terms GROUP BY 1), df AS (SELECT keyword, count(*) AS df FROM terms WHERE hash IN (SELECT hash FROM seven) GROUP BY 1), n AS (SELECT (SELECT count(*) FROM seven) AS total, (SELECT count(*) FROM healed) AS bg_n),
-cands AS (SELECT keyword, df AS with_docs, total - df AS without_docs, total, {_BAL.format('df', '(total - df)')} AS balance, ln(1.0::DOUBLE + bg_n::DOUBLE / (1.0::DOUBLE + coalesce(bg_df, 0)::DOUBLE)) AS idf FROM df LEFT JOIN bg USING (keyword), n
- WHERE {_BAL.format('df', '(total - df)')} >= 0.15 AND df >= 3 AND df <= total * 0.95::DOUBLE), ranked AS (SELECT *, row_number() OVER (ORDER BY round(balance * idf, 12) DESC, with_docs DESC, keyword) AS rank FROM cands), {_DEDUP}
-SELECT row_number() OVER (ORDER BY rank) AS rank, keyword, with_docs, round(balance, 9) AS balance, round(idf, 9) AS idf FROM kept QUALIFY row_number() OVER (ORDER BY rank) <= 200""")
+@query(f"WITH {_VENUE_MINED} SELECT conference_id, rank, keyword, with_docs, round(balance, 9) AS balance, round(idf, 9) AS idf FROM mined")
 def mine_idf(get: Get) -> DataFrame:
-    docs = documents_of(get)
-    venue = docs.join(get("papers").filter("conference_id = 7").select("hash").distinct(), "hash", "left_semi")
-    mined = mining.mine_idf(venue, docs)
-    return mined.select(F.col("rank").cast("bigint").alias("rank"), "keyword", "with_docs", F.round("balance", 9).alias("balance"), F.round("idf", 9).alias("idf"))
+    """The ranked words of every venue against all papers."""
+    mined = mining.mine_idf(venue_texts(get), documents_of(get), by=("conference_id",))
+    return mined.select("conference_id", F.col("rank").cast("bigint").alias("rank"), "keyword", "with_docs", F.round("balance", 9).alias("balance"), F.round("idf", 9).alias("idf"))
 
 
 @query(f"""WITH {_cands_sql(False)}, ranked AS (SELECT keyword, row_number() OVER (ORDER BY keyword) AS rank FROM cands)
@@ -497,10 +548,10 @@ def branch_counts(get: Get) -> DataFrame:
     return with_keywords(lambda g, k: mining.branch_counts(texts_of(g), ["model"], ["survey"], k), get)
 
 
-@query(f"""{_BRANCH}, s AS (SELECT *, CASE WHEN subset = 0 OR with_docs = 0 THEN -1.0 ELSE {_BAL.format('with_docs', '(subset - with_docs)')} END AS score FROM c)
-SELECT keyword, row_number() OVER (ORDER BY score DESC, keyword) AS rank FROM s""")
+@query(f"""{_BRANCH}, s AS (SELECT *, CASE WHEN subset = 0 THEN -1.0 ELSE {_BAL.format('with_docs', '(subset - with_docs)')} END AS score FROM c)
+SELECT keyword, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM s""")
 def branch_rank(get: Get) -> DataFrame:
-    return with_keywords(lambda g, k: mining.branch_rank(mining.branch_counts(texts_of(g), ["model"], ["survey"], k)).select("keyword", F.col("rank").cast("bigint").alias("rank")), get)
+    return with_keywords(lambda g, k: mining.branch_rank(mining.branch_counts(texts_of(g), ["model"], ["survey"], k), k).select("keyword", F.col("rank").cast("bigint").alias("rank")), get)
 
 
 # ---- partitioning and planning
@@ -535,9 +586,27 @@ def _partitioned(get: Get) -> tuple[DataFrame, DataFrame]:
     return partition.partition(docs, keywords_of(docs.sparkSession), limit=60, min_balance=0.15)
 
 
-@query()
+_MEMBERS = "mem AS (SELECT hash, keyword, rank FROM texts, kws WHERE contains(t, keyword))"
+
+
+def _tree(docs: str, limit: str, pick: str) -> str:
+    """A recursive query: tree (grp, hash, path, inc, exc, state), of which state 1 is a whole node and 2 one that nothing divides."""
+    return f"""tree AS (SELECT grp, hash, '' AS path, []::VARCHAR[] AS inc, []::VARCHAR[] AS exc, 0 AS state FROM {docs} UNION ALL
+ (WITH o AS (SELECT * FROM tree WHERE state = 0), sz AS (SELECT grp, path, count(*) AS size FROM o GROUP BY ALL),
+ cnt AS (SELECT o.grp, o.path, size, keyword, rank, count(*) AS w FROM o JOIN sz ON sz.grp = o.grp AND sz.path = o.path JOIN mem USING (hash) WHERE size > {limit} GROUP BY ALL),
+ bal AS (SELECT *, {_BAL.format('w', '(size - w)')} AS even FROM cnt WHERE w < size), ok AS (SELECT * FROM bal WHERE even >= 0.15), p AS ({pick})
+ SELECT o.grp, o.hash, CASE WHEN kw IS NULL THEN o.path WHEN m.hash IS NOT NULL THEN o.path || '0' ELSE o.path || '1' END, CASE WHEN m.hash IS NOT NULL THEN list_append(inc, kw) ELSE inc END,
+  CASE WHEN kw IS NOT NULL AND m.hash IS NULL THEN list_append(exc, kw) ELSE exc END, CASE WHEN size <= {limit} THEN 1 WHEN kw IS NULL THEN 2 ELSE 0 END
+ FROM o JOIN sz ON sz.grp = o.grp AND sz.path = o.path LEFT JOIN p ON p.grp = o.grp AND p.path = o.path LEFT JOIN mem m ON m.hash = o.hash AND m.keyword = kw))"""
+
+
+@query(f"""WITH RECURSIVE {_TEXTS}, {_MEMBERS}, docs AS (SELECT coalesce(year, 0) AS grp, hash FROM texts), {_tree('docs', '60', 'SELECT grp, path, first(keyword ORDER BY even DESC, rank) AS kw FROM ok GROUP BY ALL')},
+node AS (SELECT grp, path, inc, exc, state = 1 AS resolved, count(*) AS size FROM tree WHERE state > 0 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY grp, resolved ORDER BY path) AS r FROM node)
+SELECT grp, CASE WHEN resolved THEN r ELSE -r END AS seq, resolved, size, array_to_string(inc, '|') AS includes, array_to_string(exc, '|') AS excludes FROM n""")
 def partition_buckets(get: Get) -> DataFrame:
-    return partition.bucket_table(_partitioned(get)[1])
+    """The buckets of every year's papers."""
+    buckets = partition.bucket_table(_partitioned(get)[1])
+    return buckets.select("grp", F.col("seq").cast("bigint").alias("seq"), "resolved", "size", F.array_join("includes", "|").alias("includes"), F.array_join("excludes", "|").alias("excludes"))
 
 
 @query("SELECT count(DISTINCT hash) AS documents, count(DISTINCT hash) AS placed, 0::BIGINT AS twice, 0::BIGINT AS too_large FROM papers")
@@ -583,50 +652,68 @@ def document_limits(get: Get) -> DataFrame:
     return planner.document_limits(p, counts, 50, 0.8).withColumn("coverage", F.round("coverage", 9))
 
 
-@query()
+@query(f"""WITH {_VENUE_MINED}, vt AS (SELECT conference_id, hash, lower(coalesce(title, '') || ' ' || coalesce(snippet, '')) AS t FROM healed JOIN pairs USING (hash)), conf(keyword, rank) AS (VALUES {_KW}),
+both_ AS (SELECT conference_id, keyword, rank FROM mined UNION ALL SELECT id, keyword, rank + 1000000 FROM conferences, conf), f AS (SELECT conference_id, keyword, min(rank) AS rank FROM both_ GROUP BY ALL),
+words AS (SELECT *, length(keyword) - length(replace(keyword, ' ', '')) AS w FROM f), clean AS (SELECT * FROM words a WHERE NOT EXISTS (SELECT 1 FROM words b WHERE b.conference_id = a.conference_id AND b.w = a.w AND b.rank < a.rank AND length(a.keyword) <> length(b.keyword) AND (contains(b.keyword, a.keyword) OR contains(a.keyword, b.keyword)))),
+own AS (SELECT clean.* FROM clean JOIN conferences c ON c.id = conference_id WHERE NOT contains(lower(query), lower(keyword))), d AS (SELECT own.conference_id, keyword, count(*) AS df FROM own JOIN vt ON vt.conference_id = own.conference_id AND contains(t, lower(keyword)) GROUP BY ALL), n2 AS (SELECT conference_id, count(*) AS total FROM vt GROUP BY 1)
+SELECT own.conference_id, own.keyword, rank::BIGINT AS rank FROM own LEFT JOIN d USING (conference_id, keyword) LEFT JOIN n2 USING (conference_id) WHERE coalesce(total, 0) = 0 OR df <= total * 0.75::DOUBLE""")
 def venue_keywords(get: Get) -> DataFrame:
-    """The keyword pool of the venue with the most papers: its own mined words, then configured ones."""
-    papers = get("papers")
-    texts = planner.venue_documents(papers, 7).select("hash", F.concat_ws(" ", "title", "snippet").alias("text"))
-    return with_keywords(lambda g, k: planner.keyword_pool(planner.mined_keywords(papers, 7), k, texts, '"Neural Translation"'), get)
+    """The keyword pool of every venue: its own mined words, then configured ones."""
+    by = ("conference_id",)
+    venue = cut_lineage(venue_texts(get))
+    mined = mining.mine_idf(venue, documents_of(get), by=by)
+    named = get("conferences").select(F.col("id").alias("conference_id"), "query")
+
+    def run(g: Get, k: DataFrame) -> DataFrame:
+        configured = named.crossJoin(F.broadcast(k))  # both sides are configuration
+        texts = venue.select("conference_id", "hash", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))).alias("text"))
+        return planner.keyword_pool(mined.join(F.broadcast(named), "conference_id"), configured, texts, F.col("query"), by=by)
+
+    return with_keywords(run, get)
 
 
 @query()
 def year_leaves(get: Get) -> DataFrame:
-    """A year of the largest venue, partitioned and verified against counts of its own papers."""
-    papers, spark = get("papers"), get("conferences").sparkSession
-    docs = planner.venue_documents(papers, 7, 2016, 2016)
-    rows = partition.atoms(docs.select("hash", F.concat_ws(" ", "title", "snippet").alias("text")), keywords_of(spark)).collect()  # at most 2 ** 8 signatures
+    """Every venue and year with over 90 % of the most papers of any, planned and verified against counts of the papers themselves."""
+    papers, spark = cut_lineage(documents_of(get).filter("conference_id is not null")), get("conferences").sparkSession
+    counts = cut_lineage(papers.groupBy("conference_id", "year").agg(F.count("*").alias("n")))
+    cap = max(2, (counts.agg(F.max("n")).first()[0] or 0) * 9 // 10)
+    o = planner.Limits(max_results=cap, min_papers_to_trust=2, min_balance=0.0)
+    out = []
+    for r in counts.filter(F.col("n") >= cap).collect():  # the few over the cap
+        docs = papers.filter((F.col("conference_id") == r.conference_id) & (F.col("year") == r.year)).select("hash", "title", "snippet", "year")
+        ok, leaves = planner.plan_year(docs, '"all"', r.year, r.n, keywords_of(spark), _counted(docs), o)
+        out += [(r.conference_id, r.year, x.query, list(x.keywords), x.count, ok) for x in leaves]
+    return spark.createDataFrame(out or [], "conference_id long, year int, query string, keywords array<string>, count long, complete boolean")
+
+
+def _counted(docs: DataFrame) -> splitting.CountOracle:
+    """Counts of rendered searches taken from the documents themselves."""
+    corpus = planner.Corpus.of(planner.texts(docs), keywords_of(docs.sparkSession))
 
     class Known(splitting.CountOracle):
         def __call__(self, text: str, *_: int) -> int:
             import re
 
-            inc, exc = set(re.findall(r' AND "([^"]*)"', text)), set(re.findall(r' -"([^"]*)"', text))
-            return sum(r["size"] for r in rows if inc <= set(r.signature) and not exc & set(r.signature))
+            return sum(n for _, n in corpus.subset(tuple(re.findall(r' AND "([^"]*)"', text)), tuple(re.findall(r' -"([^"]*)"', text))))
 
-    total = sum(r["size"] for r in rows)
-    ok, leaves = planner.plan_year(papers, 7, '"seven"', 2016, total, keywords_of(spark), Known({}), max(2, total * 9 // 10), least=2, min_balance=0.0)
-    return spark.createDataFrame([(x.query, list(x.keywords), x.count, ok) for x in leaves], "query string, keywords array<string>, count bigint, complete boolean")
+    return Known({})
 
 
-@query()
+_FIRST_CLEAN = "SELECT grp, path, first(keyword ORDER BY (greatest(w, size - w) <= floor(size * 0.75)) DESC, CASE WHEN greatest(w, size - w) <= floor(size * 0.75) THEN rank END, even DESC, rank) AS kw FROM ok GROUP BY ALL"
+
+
+@query(f"""WITH RECURSIVE {_TEXTS}, {_MEMBERS}, docs AS (SELECT 0 AS grp, hash FROM texts), cap AS (SELECT greatest(1, count(*) // 3) AS n FROM texts), {_tree('docs', '(SELECT n FROM cap)', _FIRST_CLEAN)},
+node AS (SELECT path, inc, exc, state, count(*) AS n FROM tree WHERE state > 0 GROUP BY ALL)
+SELECT '"all"' || array_to_string(list_transform(inc, lambda w: ' AND "' || w || '"'), '') || array_to_string(list_transform(exc, lambda w: ' -"' || w || '"'), '') AS query,
+ array_to_string(list_concat(inc, exc), '|') AS keywords, n AS count, (SELECT bool_and(state = 1) FROM node) AS complete FROM node WHERE state = 1""")
 def over_cap_split(get: Get) -> DataFrame:
     """Leaves of the paper collection taken as one over-full search, from counts of conditioned texts."""
     spark = get("conferences").sparkSession
-    texts, kws = texts_of(get), keywords_of(spark)
-    atoms = partition.atoms(texts, kws)
-    rows = atoms.collect()  # at most 2 ** len(_KEYWORDS) signatures
-
-    def count(text: str, *_: int) -> int:
-        import re
-
-        inc, exc = set(re.findall(r' AND "([^"]*)"', text)), set(re.findall(r' -"([^"]*)"', text))
-        return sum(r["size"] for r in rows if inc <= set(r.signature) and not exc & set(r.signature))
-
+    count = _counted(documents_of(get))
     total = count("")
     ok, leaves = splitting.split_leaf('"all"', (0, 0), total, list(_KEYWORDS), count, max(1, total // 3))
-    return spark.createDataFrame([(x.query, list(x.keywords), x.count, ok) for x in leaves], "query string, keywords array<string>, count bigint, complete boolean")
+    return spark.createDataFrame([(x.query, "|".join(x.keywords), x.count, ok) for x in leaves] or [], "query string, keywords string, count bigint, complete boolean")
 
 
 @query()
@@ -638,7 +725,16 @@ def parsed_pages(get: Get) -> DataFrame:
     return page_papers(parse_pages(pages)).select("task_id", "page_number", "hash", "title", "year")
 
 
-@query()
+_WALK = """WITH e AS (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page_number, CASE WHEN value < 10 THEN '' ELSE event_type END AS fingerprint,
+ value >= 10 AS filled, value >= 60 AS fresh, value < 95 AS has_next FROM events),
+b AS (SELECT *, fingerprint <> '' AND fingerprint = lag(fingerprint) OVER w AS stall, sum(filled::INT) OVER u AS b1, sum((filled AND fresh)::INT) OVER u AS b2 FROM e WINDOW w AS (PARTITION BY task_id ORDER BY page_number), u AS (PARTITION BY task_id ORDER BY page_number ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, sum((NOT filled)::INT) OVER (PARTITION BY task_id, b1 ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS empty_run, sum((filled AND NOT fresh)::INT) OVER (PARTITION BY task_id, b2 ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS stale_run FROM b),
+x AS (SELECT task_id, page_number, CASE WHEN coalesce(stall, false) THEN 'error|same results as the page before' WHEN NOT filled AND NOT has_next THEN 'completed|no results and no next page' WHEN NOT filled AND empty_run >= 3 THEN 'needs_split|empty pages in a row'
+ WHEN filled AND stale_run >= 6 THEN 'completed|nothing new on pages in a row' WHEN filled AND NOT has_next THEN 'completed|no next page' WHEN page_number >= 52 THEN 'needs_split|page cap, estimate unknown or over the limit' END AS ended FROM r)
+SELECT task_id, first(page_number ORDER BY page_number)::INTEGER AS page_number, split_part(first(ended ORDER BY page_number), '|', 1) AS status, split_part(first(ended ORDER BY page_number), '|', 2) AS reason FROM x WHERE ended IS NOT NULL GROUP BY task_id"""
+
+
+@query(_WALK)
 def page_walk(get: Get) -> DataFrame:
     """The end of each walk, events standing in for pages."""
     from stemma.streaming.pagewalk import walk_batch

@@ -98,11 +98,34 @@ def test_infeasible_and_conditional(spark):
 
 
 def test_fits_keeps_node_whole(spark):
-    fits = spark.createDataFrame([("g", "1"), ("g", "")], "grp string, path string")
+    fits = lambda inc, exc: (inc, exc) in (((), ("alpha",)), ((), ()))
     _, nodes = parts(spark, ["alpha beta"] * 3 + ["alpha"] * 3 + ["beta"] * 3 + ["common only"] * 3, 5, ["alpha", "beta"], fits=fits)
     assert [n.size for n in nodes] == [3, 3, 6]
 
 
+@pytest.mark.parametrize("fits", [None, lambda inc, exc: len(inc) == 2])
+def test_big_nodes_are_split_in_spark_the_same(spark, monkeypatch, fits):
+    rnd = random.Random(3)
+    texts = [" ".join(w for w in ("aa", "bb", "cc", "dd ee", "ff", "gg") if rnd.random() < 0.4) for _ in range(120)]
+    words = ["gg", "aa", "bb", "cc", "dd ee", "ff", "zz"]
+    whole = parts(spark, texts, 9, words, min_balance=0.1, boost=1.5, fits=fits)
+    for most in (1, 7):
+        monkeypatch.setattr(partition, "MOST_ATOMS", most)
+        again = parts(spark, texts, 9, words, min_balance=0.1, boost=1.5, fits=fits)
+        assert again[1] == whole[1] and sorted(again[0]) == sorted(whole[0])
+
+
+def test_groups_are_apart_and_rows_without_one_are_left_out(spark):
+    d = spark.createDataFrame([(g, f"{g}{i}", "aa" if i % 2 else "bb", "x") for g in (1, 2) for i in range(6)] + [(None, "n", "aa", "x"), (1, None, "aa", "x"), (2, "20", "bb", "y")], "grp int, hash string, text string, path string")
+    k = spark.createDataFrame([("aa", 1), ("aa", 2)], "keyword string, rank int")
+    placed, nodes = partition.partition(d, k, 3)
+    assert sorted((n.grp, n.path, n.size) for n in nodes.collect()) == [(g, p, 3) for g in (1, 2) for p in "01"] and placed.count() == 12
+    placed, nodes = partition.partition(d.limit(0), k, 3)
+    assert placed.count() == nodes.count() == 0
+    _, nodes = partition.partition(d, k.limit(0), 3)
+    assert {n.resolved for n in nodes.collect()} == {False}
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10_000))
 def test_partition_invariants(spark, seed):
@@ -167,13 +190,15 @@ TASKS = "id long, conference_id long, query string, year_from int, year_to int,
 def test_upsert_tasks(spark):
     cur = spark.createDataFrame([(1, 1, "a", 2000, 2001, [], 31, "needs_split", 545, None), (2, 1, "b", 2000, 2001, [], 4, "completed", 10, None), (3, 1, "c", 2000, 2001, [], 4, "pending", 10, None)], TASKS)
     plan = spark.createDataFrame([(9, 1, "a", 2000, 2001, [], 1, "pending", 251, None), (9, 1, "b", 2000, 2001, [], 1, "needs_split", 999, None), (7, 1, "n", 2000, 2001, None, 1, "pending", 5, None)], TASKS)
-    got = {r.id: (r.status, r.page, r.total_results_estimate) for r in dml.upsert_tasks(cur, plan).collect()}
-    assert got == {1: ("pending", 1, 251), 2: ("completed", 4, 999), 3: ("pending", 4, 10), 7: ("pending", 1, 5)}
+    rows = dml.upsert_tasks(cur, plan).collect()
+    got = {r.query: (r.status, r.page, r.total_results_estimate) for r in rows}
+    assert got == {"a": ("pending", 1, 251), "b": ("completed", 4, 999), "c": ("pending", 4, 10), "n": ("pending", 1, 5)}
+    assert {r.query: r.id for r in rows if r.query != "n"} == {"a": 1, "b": 2, "c": 3} and len({r.id for r in rows}) == 4
 
 
 def test_paper_heal(spark):
     rows = [(1, "h", "t", "a", 2000, None, None, "u", "s", 0, 5, None), (2, "h", "T2", "a2", 2001, "x", 9, "u", "s", 3, 6, "crawl")]
-    df = spark.createDataFrame(rows, "seq long, hash string, title string, authors string, year int, snippet string, citations long, source_url string, scholar_id string, task_id long, conference_id long, sourced_from string")
+    df = spark.createDataFrame(rows, "seq long, hash string, title string, authors string, year int, snippet string, citations long, source_url string, scholar_id string, task_id long, conference_id long, sourced_from string").withColumns({"raw_html": F.lit(""), "scraped_at": F.lit(None).cast("timestamp")})
     r = dml.heal_papers(df).collect()[0]
     assert (r.title, r.citations, r.task_id, r.conference_id, r.sourced_from) == ("t", 0, 3, 5, "crawl")
 
@@ -188,8 +213,8 @@ def test_merge_is_idempotent(spark):
     own = spark.createDataFrame([(1, 1, "a", 2000, 2001, ["k"], 1, "pending", 0, None), (2, 1, "b", 2000, 2001, None, 5, "completed", 7, None)], TASKS)
     other = spark.createDataFrame([(11, 1, "a", 2000, 2001, ["k"], 4, "completed", 30, "e"), (12, 1, "b", 2000, 2001, None, 9, "running", 9, None), (13, 1, "c", 2000, 2001, [], 1, "running", None, None)], TASKS)
     once = merge.merge_tasks(own, other)
-    got = {r.id: (r.status, r.page, r.total_results_estimate, r.error, r.change) for r in once.collect()}
-    assert got == {1: ("completed", 4, 30, "e", "updated"), 2: ("completed", 9, 7, None, "updated"), 13: ("pending", 1, None, None, "added")}
+    got = {r.query: (r.status, r.page, r.total_results_estimate, r.error, r.change) for r in once.collect()}
+    assert got == {"a": ("completed", 4, 30, "e", "updated"), "b": ("completed", 9, 7, None, "updated"), "c": ("pending", 1, None, None, "added")}
     assert {r.change for r in merge.merge_tasks(once.drop("change"), other).collect()} == {"same"}
 
 
@@ -215,7 +240,77 @@ def test_newest_wins_only_if_newer(spark):
     assert {(r.q, r.n) for r in dml.newest(own, other, ["q"], "n", "at").collect()} == {("q", 1), ("r", 2), ("s", 3)}
 
 
-def test_too_many_keywords_are_refused(spark):
-    kws = spark.range(mining.MOST_KEYWORDS + 1).select(F.col("id").cast("string").alias("keyword"))
-    with pytest.raises(Exception, match="too many keywords"):
-        mining.keyword_array(kws).collect()
+def test_many_keywords_by_automaton(spark, monkeypatch):
+    d = spark.createDataFrame([("a", "Alpha beta"), ("b", None), ("c", "GAMMA alphabet"), ("d", "")], "hash string, text string")
+    k = spark.createDataFrame([("alpha",), ("Beta",), ("amma",), ("nowhere",), ("alpha",)], "keyword string")
+    few = sorted(map(tuple, mining.membership(d, k).collect()))
+    monkeypatch.setattr(mining, "MOST_KEYWORDS", 2)
+    assert sorted(map(tuple, mining.membership(d, k).collect())) == few == [("a", "Beta"), ("a", "alpha"), ("c", "alpha"), ("c", "amma")]
+
+
+def test_viable_without_texts_keeps_all(spark):
+    d = spark.createDataFrame([], "hash string, text string")
+    assert {r.keyword for r in mining.viable(d, spark.createDataFrame([("x",), ("y",)], "keyword string"), 0.5).collect()} == {"x", "y"}
+
+
+TASKS = "id long, conference_id long, query string, year_from int, year_to int, keywords array<string>, page int, status string, total_results_estimate long, error string"
+
+
+def task(i, query, status="pending", page=1, estimate=5, error=""):
+    return (i, 1, query, 2000, 2000, [], page, status, estimate, error)
+
+
+def test_merged_tasks_have_ids_of_their_own(spark):
+    own = spark.createDataFrame([task(5, "q")], TASKS)
+    other = spark.createDataFrame([task(5, "r"), task(6, "q"), task(7, "s", "running")], TASKS)
+    merged = merge.merge_tasks(own, other)
+    rows = {r.query: r for r in merged.collect()}
+    assert rows["q"].id == 5 and len({r.id for r in rows.values()}) == 3 and rows["s"].status == "pending"
+    assert {r.src_id: r.dst_id for r in merge.task_map(merged, other).collect()} == {5: rows["r"].id, 6: 5, 7: rows["s"].id}
+    taken = spark.createDataFrame([task(rows["r"].id, "q")], TASKS)  # an own task that has the id made for another
+    again = merge.merge_tasks(taken, other).collect()
+    assert len({r.id for r in again}) == 3 and {r.id for r in again if r.query == "q"} == {rows["r"].id}
+
+
+def test_merged_papers_take_mapped_tasks_and_fill_markup(spark):
+    form = "hash string, title string, year int, citations long, task_id long, conference_id long, sourced_from string, raw_html string, scraped_at timestamp"
+    t = datetime(2020, 1, 1)
+    own = spark.createDataFrame([("a", "T", 1, 3, None, 1, "plan", "", t)], form)
+    other = spark.createDataFrame([("a", "T", 1, 2, 5, 1, "crawl", "<p>", None), ("b", "U", 1, None, 9, 1, "crawl", "<q>", t)], form)
+    tasks = spark.createDataFrame([(5, 50)], "src_id long, dst_id long")
+    got = {r.hash: (r.citations, r.task_id, r.sourced_from, r.raw_html, r.scraped_at, r.change) for r in merge.merge_papers(own, other, tasks).collect()}
+    assert got == {"a": (3, 50, "crawl", "<p>", t, "same"), "b": (0, None, "plan", "<q>", t, "added")}
+
+
+def test_upsert_overwrites_the_estimate(spark):
+    cur, plan = spark.createDataFrame([task(1, "q", estimate=10), task(2, "r", estimate=3)], TASKS), spark.createDataFrame([task(None, "q", estimate=0), task(None, "n")], TASKS)
+    assert {(r.query, r.total_results_estimate) for r in dml.upsert_tasks(cur, plan).collect()} == {("q", 0), ("r", 3), ("n", 5)}
+
+
+def test_healing_keeps_markup_and_time(spark):
+    t = lambda d: datetime(2020, 1, d)
+    rows = [(2, "h", "second", None, "<2>", t(1)), (1, "h", "first", 7, "<1>", t(5))]
+    s = spark.createDataFrame(rows, "seq long, hash string, title string, task_id long, raw_html string, scraped_at timestamp")
+    for c, kind in (("authors", "string"), ("year", "int"), ("snippet", "string"), ("source_url", "string"), ("scholar_id", "string"), ("citations", "long"), ("conference_id", "long"), ("sourced_from", "string")):
+        s = s.withColumn(c, F.lit(None).cast(kind))
+    r = dml.heal_papers(s).collect()[0]
+    assert (r.title, r.raw_html, r.scraped_at, r.task_id, r.sourced_from) == ("first", "<1>", t(5), 7, "crawl")
+
+
+def test_task_changes_and_stale_tasks(spark):
+    cur = spark.createDataFrame([task(1, "a"), task(2, "b"), task(3, "c", "completed", estimate=9)], TASKS)
+    changes = spark.createDataFrame([(1, "running", None, None), (2, None, None, 4)], "id long, status string, error string, page int")
+    assert {(r.id, r.status, r.page) for r in dml.change_tasks(cur, changes).collect()} == {(1, "running", 1), (2, "pending", 4), (3, "completed", 1)}
+    actions = spark.createDataFrame([(1, "deleted"), (2, "superseded")], "id long, action string")
+    papers = spark.createDataFrame([("h", 1), ("k", 2), ("m", None)], "hash string, task_id long")
+    kept, freed = dml.drop_stale(cur, papers, actions)
+    assert {(r.id, r.status) for r in kept.collect()} == {(2, "superseded"), (3, "completed")} and {(r.hash, r.task_id) for r in freed.collect()} == {("h", None), ("k", 2), ("m", None)}
+    short = spark.createDataFrame([(3, 2, 9)], "id long, got long, total_results_estimate long")
+    r = [x for x in dml.judge_completed(cur, short).collect() if x.id == 3][0]
+    assert (r.status, r.error) == ("incomplete", "under-delivered: got 2 of ~9 estimated results") and dml.requeued(cur, ("pending",)) == 2
+
+
+def test_diff_of_text_keys(spark):
+    a = spark.createDataFrame([("a", 1), ("", 2), (None, 3)], "id string, n int")
+    b = spark.createDataFrame([("a", 2), ("", 2)], "id string, n int")
+    assert {(r.row_id, r.finding) for r in diff.findings(diff.table_diff(a, b, "id", {"n": None}), "t").collect()} == {("a", "n"), (None, "only_main")}
