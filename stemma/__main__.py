@@ -61,7 +61,7 @@ def merge_stores(own: Store, other: Store) -> DataFrame:
 
 
 def limits(s: config.Settings) -> planner.Limits:
-    return planner.Limits(s.max_results, s.headroom, s.min_balance, s.max_probes, s.min_papers_to_trust, s.min_coverage, s.max_side_fraction, s.mine_phrase_boost, s.mine_max_ngram, s.max_mined_keywords)
+    return planner.Limits(s.max_results, s.headroom, s.min_balance, s.max_probes, s.min_papers_to_trust, s.min_coverage, s.side_fraction, s.mine_phrase_boost, s.longest_phrase, s.max_mined_keywords)
 
 
 def generate(store: Store, venue, settings: config.Settings, every: DataFrame | None = None, ranking: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,11 @@ SCHEMAS = {
     "keyword_rank": "keyword string, score double, corpus_size bigint",
     "plan_harvest_pages": "query string, year_from int, year_to int, html string, scraped_at timestamp",
 }
+#: What tells the rows of a table apart.
+KEYS = {
+    "conferences": ["id"], "conference_aliases": ["conference_id", "query"], "tasks": ["id"], "papers": ["hash"], "page_html": ["task_id", "page_number"], "paper_tasks": ["hash", "task_id"],
+    "count_cache": ["query", "year_from", "year_to"], "keyword_rank": ["keyword"], "plan_harvest_pages": ["query", "year_from", "year_to"],
+}
 DEFAULTS = {"conferences": {"type": "conference"}, "tasks": {"page": 1, "status": "pending"}, "papers": {"citations": 0}}
 
 

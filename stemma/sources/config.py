@@ -35,9 +35,21 @@ class Settings:
     mine_phrase_boost: float = 1.5
     min_completion_ratio: float = 0.5
     max_side_fraction: float = 0.75
+    include_citations: bool = False
+    mine_bigrams: bool = False
     keywords: tuple[str, ...] = ()
     conferences: tuple[Venue, ...] = field(default_factory=tuple)
 
+    @property
+    def longest_phrase(self) -> int:
+        """Words of the longest mined phrase; the older setting asks for two at least."""
+        return max(self.mine_max_ngram, 2) if self.mine_bigrams else self.mine_max_ngram
+
+    @property
+    def side_fraction(self) -> float:
+        """The share of a node that a side may keep, 0.75 where it is unset."""
+        return self.max_side_fraction if self.max_side_fraction > 0 else 0.75
+
     def last_year(self, current: int) -> int:
         return self.end_year or current
 

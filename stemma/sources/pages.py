@@ -175,9 +175,13 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     return parsed.withColumn("count", counted)
 
 
-def page_papers(parsed: DataFrame) -> DataFrame:
-    """One row for each item of parsed pages (task_id, page_number, page): the paper with its key."""
+def page_papers(parsed: DataFrame, citations: bool = True) -> DataFrame:
+    """One row for each item of parsed pages (task_id, page_number, page): the paper with its key.
+
+    citations: with those that are known from being cited only, without a document of their own?
+    """
     flat = parsed.select("task_id", "page_number", F.posexplode("page.items").alias("place", "i"))
+    flat = flat if citations else flat.filter(~F.col("i.citation_only"))
     meta = flat.withColumn("m", T.meta_line(T.norm_space(F.col("i.meta"))))
     return meta.select(
         "task_id", "page_number", "place", T.paper_key(F.col("i.title"), F.col("m.year"), F.col("m.authors")).alias("hash"), F.col("i.title").alias("title"), F.col("m.authors").alias("authors"), F.col("m.venue").alias("venue"),
@@ -188,3 +192,31 @@ def page_papers(parsed: DataFrame) -> DataFrame:
 def replay_links(parsed: DataFrame) -> DataFrame:
     """(hash, task_id) rebuilt from archived pages, each link once."""
     return page_papers(parsed).filter("task_id is not null").select("hash", "task_id").distinct()
+
+
+def fingerprints(parsed: DataFrame) -> DataFrame:
+    """Adds fingerprint: equal for pages that show the same papers in the same order, '' for a page without any."""
+    meta = lambda i: T.meta_line(T.norm_space(i["meta"]))
+    keys = F.transform("page.items", lambda i: T.paper_key(i["title"], meta(i)["year"], meta(i)["authors"]))
+    return parsed.withColumn("fingerprint", F.when(F.coalesce(F.size("page.items"), F.lit(0)) <= 0, "").otherwise(F.sha2(F.array_join(keys, ","), 256)))
+
+
+def walk_pages(parsed: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Parsed pages of whole tasks as input of a walk: (task_id, page_number, fingerprint, items, added, has_next, estimate).
+
+    added: papers that the page is the first of its task to show. estimates: (task_id, estimate); 0 if not known.
+    """
+    first = page_papers(parsed).groupBy("task_id", "hash").agg(F.min("page_number").alias("page_number"))
+    added = first.groupBy("task_id", "page_number").agg(F.count("*").alias("added"))
+    marked = fingerprints(parsed).select("task_id", "page_number", "fingerprint", F.size("page.items").alias("items"), F.col("page.has_next").alias("has_next"))
+    known = estimates.groupBy("task_id").agg(F.max("estimate").alias("estimate"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return marked.join(added, ["task_id", "page_number"], "left").join(known, "task_id", "left").select("task_id", "page_number", "fingerprint", "items", zero("added"), "has_next", zero("estimate"))
+
+
+def harvested(parsed: DataFrame) -> DataFrame:
+    """Sightings of papers on recorded pages of plan searches (conference_id, query, year_from, year_to, html, page, scraped_at): they have no task."""
+    pages = parsed.withColumns({"task_id": F.lit(None).cast("bigint"), "page_number": F.lit(1)})
+    rows = page_papers(pages.select("task_id", F.xxhash64("query", "year_from", "year_to").alias("page_number"), "page"))
+    venue = pages.select(F.xxhash64("query", "year_from", "year_to").alias("page_number"), "conference_id", "scraped_at").dropDuplicates(["page_number"])
+    return rows.join(venue, "page_number").withColumn("sourced_from", F.lit("plan")).withColumn("seq", F.struct("scraped_at", "page_number", "place"))
