@@ -1,4 +1,4 @@
-"""python -m stemma STORE [--config FILE] [--conference NAME] [--status] [--merge STORE]... [--backfill-tasks] [--rerun-shortfall] [--gen-tasks]"""
+"""python -m stemma STORE [--config FILE] [--conference NAME] [--status] [--merge STORE]... [--merge-links] [--backfill-tasks] [--rerun-shortfall] [--gen-tasks]"""
 
 from __future__ import annotations
 
@@ -35,8 +35,11 @@ def select(conferences: DataFrame, name: str | None) -> DataFrame:
     return one
 
 
-def merge_stores(own: Store, other: Store) -> DataFrame:
-    """Everything of the other store into the own one, in one commit; how many rows of each table were added or updated."""
+def merge_stores(own: Store, other: Store, links: bool = False) -> DataFrame:
+    """The other store into the own one, in one commit; how many rows of each table were added or updated.
+
+    Links between papers and tasks are not taken over unless asked for; the stored ranking never is.
+    """
     known = cut_lineage(merge.merge_conferences(own.read("conferences"), other.read("conferences")))
     conf = merge.conference_map(known, other.read("conferences"))
     moved = lambda name: other.read(name).join(conf, F.col("conference_id") == F.col("src_id"), "left").drop("conference_id", "src_id", "is_new").withColumnRenamed("dst_id", "conference_id")
@@ -55,6 +58,8 @@ def merge_stores(own: Store, other: Store) -> DataFrame:
         "count_cache": dml.newest(own.read("count_cache"), other.read("count_cache"), key, "count", "updated_at"),
         "plan_harvest_pages": dml.newest(own.read("plan_harvest_pages"), other.read("plan_harvest_pages"), key, "html", "scraped_at"),
     }
+    if not links:
+        del merged["paper_tasks"]
     rows = merge.merge_stats(**merged).collect()  # seven tables, three kinds of change
     own.commit(conference_aliases=merge.merge_aliases(own.read("conference_aliases"), other.read("conference_aliases"), conf), **merged)
     return own.spark.createDataFrame([tuple(r) for r in rows], "tbl string, change string, n long")
@@ -138,6 +143,7 @@ def main() -> None:
     p.add_argument("--config")
     p.add_argument("--conference")
     p.add_argument("--merge", action="append", default=[])
+    p.add_argument("--merge-links", action="store_true")
     for flag in ("status", "backfill-tasks", "rerun-shortfall", "gen-tasks"):
         p.add_argument(f"--{flag}", action="store_true")
     o = p.parse_args()
@@ -146,7 +152,7 @@ def main() -> None:
     if settings:
         seed(store, settings)
     for root in o.merge:
-        merge_stores(store, store.attach(root)).show()
+        merge_stores(store, store.attach(root), o.merge_links).show()
     if o.backfill_tasks:
         print(f"{backfill(store, settings.min_completion_ratio if settings else 0.5).count()} completed tasks are incomplete")
     if o.rerun_shortfall:
@@ -162,9 +168,11 @@ def main() -> None:
         if fresh is not None:
             store.commit(keyword_rank=fresh)
         for venue in select(store.read("conferences"), o.conference).select("id", "name").toLocalIterator():
-            emit(store, venue, generate(store, venue, settings, every, ranking))
+            plan = cut_lineage(generate(store, venue, settings, every, ranking))
+            emit(store, venue, plan)
+            print(f"{venue.name}: {plan.count()} tasks, {plan.filter("status = 'needs_split'").count()} need a split")
     if o.status:
-        stats.status_counts(store.read("tasks"), store.read("conferences"), store.read("papers")).show(vertical=True)
+        stats.status_counts(store.read("tasks"), store.read("conferences"), store.read("papers"), store.read("page_html")).show(vertical=True)
         stats.venue_rollup(select(store.read("conferences"), o.conference), store.read("papers"), store.read("tasks")).show(200, truncate=False)
 
 

@@ -185,6 +185,11 @@ def newest(current: DataFrame, incoming: DataFrame, key: list[str], value: str,
     return best.select(*key, F.col(f"_m.{value}").alias(value), F.col(f"_m.{at}").alias(at), change.alias("change"))
 
 
+def save_harvest(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Recorded pages of plan searches (query, year_from, year_to, html, scraped_at): of each search the newest."""
+    return newest(current, incoming, ["query", "year_from", "year_to"], "html", "scraped_at")
+
+
 def rank_scores(ranked: DataFrame, corpus_size: Column) -> DataFrame:
     """(keyword, score, corpus_size): rank position as a score, n for the first."""
     n = ranked.agg(F.count("*").alias("_n"))

@@ -90,7 +90,7 @@ def drop_contained(ranked: DataFrame, kept_first: bool = False, by: By = ()) ->
 
 def _top(ranked: DataFrame, o: MiningOptions, by: By = ()) -> DataFrame:
     again = rank(drop_contained(ranked, by=by), [F.col("rank")], by)
-    return again.filter(F.col("rank") <= o.most)
+    return again if o.most < 0 else again.filter(F.col("rank") <= o.most)  # 0: none; below 0: all
 
 
 def mine(docs: DataFrame, o: MiningOptions = MiningOptions(), by: By = ()) -> DataFrame:

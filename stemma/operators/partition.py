@@ -159,6 +159,13 @@ def _split_big(state: DataFrame, big: list, done: list[DataFrame], ranks: dict[s
     return cut_lineage(moved.select("grp", F.concat("path", step).alias("path"), added("includes", True), added("excludes", False), "signature", "n"))
 
 
+def document_buckets(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(grp, seq, hash): the documents of each bucket under its number in ``bucket_table``, to be stored."""
+    order = Window.partitionBy("grp", "resolved").orderBy("path")
+    numbered = nodes.select("grp", "path", (F.row_number().over(order) * F.when(F.col("resolved"), 1).otherwise(-1)).alias("seq"))
+    return placed.join(numbered, ["grp", "path"]).select("grp", "seq", "hash")
+
+
 def bucket_table(nodes: DataFrame) -> DataFrame:
     """(grp, seq, resolved, size, includes, excludes): buckets numbered in order of emission, unresolved groups below zero."""
     order = Window.partitionBy("grp", "resolved").orderBy("path")

@@ -63,7 +63,7 @@ def corpus_ranking(papers: DataFrame, stored: DataFrame, options: mining.MiningO
     length is taken; else all papers are mined anew."""
     every = documents(papers)
     key = rank_key(every.count(), options.longest)
-    have = stored.filter(F.col("corpus_size") == key)
+    have = dml.stored_ranking(stored, key)
     if not have.isEmpty():
         return mining.rank(have, [F.col("score").desc(), F.col("keyword")]).select("keyword", "rank"), None
     mined = mining.mine_idf(every, every, options).select("keyword", "rank")

@@ -27,10 +27,28 @@ def names(conferences: DataFrame, aliases: DataFrame) -> DataFrame:
     return conferences.join(listed, "id", "left").select("id", "name", F.concat(F.array("query"), F.coalesce("_a", F.array().cast("array<string>"))).alias("names"))
 
 
-def status_counts(tasks: DataFrame, conferences: DataFrame, papers: DataFrame) -> DataFrame:
-    """One row with the number of venues, papers and tasks by status."""
+def other_names(named: DataFrame, name: str) -> DataFrame:
+    """(id, name, others ARRAY<STRING>): the names of each venue (names) but for one, in order."""
+    return named.select("id", "name", F.filter("names", lambda n: n != name).alias("others"))
+
+
+def archived_pages(pages: DataFrame, task_id: int | None = None) -> DataFrame:
+    """Archived pages of a task, or of all, by task and page number."""
+    own = pages if task_id is None else pages.filter(F.col("task_id") == task_id)
+    return own.orderBy("task_id", "page_number")
+
+
+def cached_counts(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted (query, year_from, year_to) with the count that is known, null where none is; a miss is no error."""
+    known = cache.groupBy("query", "year_from", "year_to").agg(F.max("count").alias("count"))
+    return wanted.join(known, ["query", "year_from", "year_to"], "left")
+
+
+def status_counts(tasks: DataFrame, conferences: DataFrame, papers: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row with the number of venues, papers, tasks by status and, if given, archived pages."""
     counted = tasks.agg(F.count("*").alias("tasks"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
-    return counted.crossJoin(F.broadcast(conferences.agg(F.count("*").alias("conferences")))).crossJoin(F.broadcast(papers.agg(F.countDistinct("hash").alias("papers"))))
+    whole = counted.crossJoin(F.broadcast(conferences.agg(F.count("*").alias("conferences")))).crossJoin(F.broadcast(papers.agg(F.countDistinct("hash").alias("papers"))))
+    return whole if pages is None else whole.crossJoin(F.broadcast(pages.agg(F.count("*").alias("pages"))))
 
 
 def name_of_task(tasks: DataFrame, named: DataFrame) -> DataFrame:

@@ -208,6 +208,20 @@ def status_counts(get: Get) -> DataFrame:
     return stats.status_counts(get("tasks"), get("conferences"), get("papers"))
 
 
+@query("""SELECT c.id, c.name, coalesce(string_agg(a.query, '|' ORDER BY a.ord), '') AS others FROM conferences c LEFT JOIN conference_aliases a ON a.conference_id = c.id GROUP BY c.id, c.name""")
+def other_names(get: Get) -> DataFrame:
+    """The names of every venue but its main one."""
+    named = stats.names(get("conferences"), get("conference_aliases"))
+    own = get("conferences").select("id", "query")
+    return named.join(own, "id").select("id", "name", F.array_join(F.filter("names", lambda n: n != F.col("query")), "|").alias("others"))
+
+
+@query("""WITH {} SELECT t.id, k.count FROM tasks t LEFT JOIN (SELECT query, year_from, year_to, max(count) AS count FROM known GROUP BY ALL) k ON k.query = t.query AND k.year_from = t.year_from AND k.year_to = t.year_to""")
+def cached_counts(get: Get) -> DataFrame:
+    """The known count of every task's search, null where there is none."""
+    return stats.cached_counts(get("tasks").select("id", "query", "year_from", "year_to"), _known(get)).select("id", "count")
+
+
 @query("""SELECT c.id, c.name, coalesce(p.n, 0) AS papers, coalesce(t.n, 0) AS tasks, coalesce(t.d, 0) AS completed FROM conferences c
  LEFT JOIN (SELECT conference_id, count(DISTINCT hash) AS n FROM papers WHERE conference_id <> 0 GROUP BY 1) p ON p.conference_id = c.id
  LEFT JOIN (SELECT conference_id, count(*) AS n, count(*) FILTER (WHERE status = 'completed') AS d FROM tasks GROUP BY 1) t ON t.conference_id = c.id""")
@@ -609,6 +623,12 @@ def partition_buckets(get: Get) -> DataFrame:
     return buckets.select("grp", F.col("seq").cast("bigint").alias("seq"), "resolved", "size", F.array_join("includes", "|").alias("includes"), F.array_join("excludes", "|").alias("excludes"))
 
 
+@query(SQL["partition_buckets"].split("SELECT grp, CASE WHEN resolved")[0] + "SELECT n.grp, CASE WHEN resolved THEN r ELSE -r END AS seq, hash FROM tree JOIN n ON n.grp = tree.grp AND n.path = tree.path WHERE state > 0")
+def document_buckets(get: Get) -> DataFrame:
+    """The bucket of every paper."""
+    return partition.document_buckets(*_partitioned(get)).select("grp", F.col("seq").cast("bigint").alias("seq"), "hash")
+
+
 @query("SELECT count(DISTINCT hash) AS documents, count(DISTINCT hash) AS placed, 0::BIGINT AS twice, 0::BIGINT AS too_large FROM papers")
 def partition_invariants(get: Get) -> DataFrame:
     placed, nodes = _partitioned(get)
@@ -621,6 +641,9 @@ _COUNTS = """cnt AS (SELECT c.id, c.query, p.year, count(*) AS n FROM papers p J
 known AS (SELECT query, year AS year_from, year AS year_to, n AS count FROM cnt UNION ALL SELECT a.query, a.year - (a.year - 2000) % 2, a.year - (a.year - 2000) % 2 + 1, sum(a.n)::BIGINT FROM cnt a WHERE a.year >= 2000 GROUP BY ALL)"""
 
 
+SQL["cached_counts"] = SQL["cached_counts"].format(_COUNTS)
+
+
 def _known(get: Get) -> DataFrame:
     c = get("conferences").select(F.col("id").alias("conference_id"), "query")
     one = get("papers").select("conference_id", "year").join(c, "conference_id").groupBy("query", "year").agg(F.count("*").alias("count"))

@@ -103,6 +103,7 @@ class Store:
     def attach(self, root: str) -> "Store":
         """A second store, to merge from; it must not be this one."""
         other = Store(self.spark, root)
-        if self._fs.makeQualified(self._path(self.root)).equals(self._fs.makeQualified(self._path(other.root))):
+        full = lambda root: self._fs.makeQualified(self._path(root)).toString().casefold()
+        if full(self.root) == full(other.root):  # some file systems do not tell letter case apart
             raise ValueError("a store can't be merged into itself")
         return other

@@ -133,6 +133,18 @@ def commit_pages(store: Store, pages: DataFrame, most: int = 1000, cap: int = 52
     return touched.join(links.groupBy("task_id").agg(F.count("*").alias("added")), "task_id", "left").select("task_id", F.coalesce("added", F.lit(0).cast("bigint")).alias("added"))
 
 
+def resume(store: Store, conference_id: int) -> DataFrame:
+    """The tasks of a venue that a walk goes on with, and their pages, by id: what was left running is pending again, and
+    a pointer follows the pages that are there. Both are committed."""
+    tasks, pages = store.read("tasks"), store.read("page_html")
+    mine = dml.requeue(tasks.filter(F.col("conference_id") == conference_id), ("running",))
+    waiting = mine.filter("status = 'pending'")
+    pointer = dml.reconcile_pages(waiting, pages).withColumns({"status": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    changed = cut_lineage(dml.change_tasks(mine, pointer))
+    store.commit({"tasks": changed})
+    return changed.filter("status = 'pending'").orderBy("id")
+
+
 def stream_pages(pages: DataFrame, root: str, checkpoint: str, **limits):
     """Commits a stream of recorded pages batch by batch; each page takes effect once, however often it is delivered."""
 

@@ -39,6 +39,9 @@ def test_merge_twice(spark, tmp_path):
     p = {r.hash: (r.snippet, r.citations, r.sourced_from, r.task_id is not None) for r in own.read("papers").collect()}
     assert p == {"h1": ("text", 5, "crawl", True), "h2": ("x", 1, "crawl", True)}
     assert {(r.page_number, r.html) for r in own.read("page_html").collect()} == {(1, "own"), (2, "more")}
+    assert own.read("paper_tasks").count() == 0
+    other.commit(paper_tasks=spark.createDataFrame([("h1", 1)], "hash string, task_id long"))
+    assert ("paper_tasks", "added", 1) in {tuple(r) for r in cli.merge_stores(own, own.attach(str(tmp_path / "b")), links=True).collect()}
     again = {r.change for r in cli.merge_stores(own, own.attach(str(tmp_path / "b"))).collect()}
     assert again == {"same"} and own.read("conferences").count() == 2
 

@@ -314,3 +314,17 @@ def test_diff_of_text_keys(spark):
     a = spark.createDataFrame([("a", 1), ("", 2), (None, 3)], "id string, n int")
     b = spark.createDataFrame([("a", 2), ("", 2)], "id string, n int")
     assert {(r.row_id, r.finding) for r in diff.findings(diff.table_diff(a, b, "id", {"n": None}), "t").collect()} == {("a", "n"), (None, "only_main")}
+
+
+def test_limit_of_keywords(spark):
+    d = docs(spark, ["alpha"] * 4 + ["beta"] * 4)
+    n = lambda most: mining.mine(d, mining.MiningOptions(most=most)).count()
+    assert (n(0), n(1), n(-1)) == (0, 1, 2)
+
+
+def test_cached_counts_and_other_names(spark):
+    wanted = spark.createDataFrame([("q", 1, 2), ("r", 1, 2)], "query string, year_from int, year_to int")
+    cache = spark.createDataFrame([("q", 1, 2, 5)], "query string, year_from int, year_to int, count long")
+    assert {(r.query, r["count"]) for r in stats.cached_counts(wanted, cache).collect()} == {("q", 5), ("r", None)}
+    named = spark.createDataFrame([(1, "A", ["a", "b", "c"])], "id long, name string, names array<string>")
+    assert stats.other_names(named, "b").collect()[0].others == ["a", "c"]

@@ -116,6 +116,21 @@ def test_pages_are_committed_once_with_all_that_follows(spark, tmp_path):
     assert state()[3] == (3, "error", 1230) and s.read("page_html").count() == 6 and s.read("paper_tasks").count() == 5
 
 
+def test_a_walk_resumes_after_the_pages_that_are_there(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "a"))
+    task = lambda i, c, st: (i, c, "q", 2000, 2001, [str(i)], 9, st, 5, None)
+    s.commit(
+        tasks=spark.createDataFrame([task(3, 4, "pending"), task(1, 4, "running"), task(2, 4, "completed"), task(5, 6, "running")], "id long, conference_id long, query string, year_from int, year_to int, keywords array<string>, page int, status string, total_results_estimate long, error string"),
+        page_html=spark.createDataFrame([(1, 1, "x", None), (1, 2, "x", None), (2, 1, "x", None)], "task_id long, page_number int, html string, scraped_at timestamp"),
+    )
+    assert [(r.id, r.page) for r in pagewalk.resume(s, 4).collect()] == [(1, 3), (3, 1)]
+    assert {(r.id, r.status, r.page) for r in s.read("tasks").collect()} == {(1, "pending", 3), (3, "pending", 1), (2, "completed", 9), (5, "running", 9)}
+    from stemma.operators import stats
+
+    assert [(r.task_id, r.page_number) for r in stats.archived_pages(s.read("page_html")).collect()] == [(1, 1), (1, 2), (2, 1)]
+    assert stats.archived_pages(s.read("page_html"), 2).count() == 1
+
+
 def test_fingerprints_and_harvest(spark):
     pages = spark.createDataFrame([(1, 1, page([row(1), row(2)])), (1, 2, page([row(1), row(2)], "x")), (1, 3, page([row(2), row(1)])), (1, 4, page([]))], "task_id long, page_number int, html string")
     f = {r.page_number: r.fingerprint for r in fingerprints(parse_pages(pages)).collect()}
