@@ -79,6 +79,24 @@ tf AS (SELECT seq, term, count(*) AS tf FROM tok GROUP BY ALL),
 df AS (SELECT term, sum(tf)::BIGINT AS occurrences, count(*) AS n_records FROM tf GROUP BY ALL)
 """
 
+_STAND = r"""s AS (SELECT *, regexp_replace(snippet, '^\s+|\s+$', '', 'g') AS t FROM papers),
+pairs AS (SELECT DISTINCT lower(t) AS k, hash FROM s WHERE length(t) > 0),
+stand AS (SELECT k FROM pairs GROUP BY k HAVING count(*) >= 5 AND count(*) >= 0.002 * (SELECT count(*) FROM pairs))"""
+
+
+def _model(rounds: int = 8) -> str:
+    """The rounds of the quality model one after another: what each source is worth, then what each pattern is."""
+    quality = "q0 AS (SELECT DISTINCT field, src, 0.7::DOUBLE AS a, 0.9::DOUBLE AS b FROM votes), b0 AS (SELECT DISTINCT field, 0.5::DOUBLE AS p FROM pat)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(quality)
+        steps.append(f"""p{k} AS (SELECT pid, field, weight, 1 / (1 + exp(-(score + ln(b.p / (1 - b.p))))) AS probability FROM pat JOIN b{k} b USING (field)
+ JOIN (SELECT pid, sum(CASE WHEN said = 1 THEN ln(a / (1 - b)) ELSE ln((1 - a) / b) END) AS score FROM votes JOIN q{k} USING (field, src) GROUP BY pid) USING (pid))""")
+        quality = f"""q{k + 1} AS (SELECT v.field, src, (sum(v.weight * probability * said) + 14) / (sum(v.weight * probability) + 20) AS a, (sum(v.weight * (1 - probability) * (1 - said)) + 18) / (sum(v.weight * (1 - probability)) + 20) AS b
+ FROM votes v JOIN p{k} USING (pid) GROUP BY v.field, src), b{k + 1} AS (SELECT field, (sum(weight * probability) + 10) / (sum(weight) + 20) AS p FROM p{k} GROUP BY field)"""
+    return ", ".join(steps)
+
+
 SQL = {
     "p1_found": f"""WITH {_TERMS}
 SELECT term, occurrences, n_records, CASE WHEN n_records < 3 THEN 'rare' ELSE 'common' END AS verdict FROM df
@@ -100,5 +118,14 @@ SELECT hash,
  coalesce(first(seq ORDER BY (sourced_from IS NOT DISTINCT FROM 'crawl') DESC, scraped_at DESC NULLS LAST, seq) FILTER (WHERE task_id <> 0), 0) AS task_seq,
  coalesce(first(seq ORDER BY (sourced_from IS NOT DISTINCT FROM 'crawl') DESC, scraped_at DESC NULLS LAST, seq) FILTER (WHERE conference_id <> 0), 0) AS conference_seq
 FROM r WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) >= 2""",
+    "p5_values": f"""WITH {_STAND}, r AS (SELECT *, coalesce(sourced_from, '(none)') AS src FROM s WHERE hash IS NOT NULL),
+claims AS (SELECT DISTINCT hash, src, field, value FROM (SELECT hash, src, 'task_id' AS field, nullif(task_id, 0)::VARCHAR AS value FROM r UNION ALL SELECT hash, src, 'conference_id', nullif(conference_id, 0)::VARCHAR FROM r
+ UNION ALL SELECT hash, src, 'citations', citations::VARCHAR FROM r WHERE citations >= 0 UNION ALL SELECT hash, src, 'snippet', t FROM r WHERE length(t) > 0 AND lower(t) NOT IN (SELECT k FROM stand)) WHERE value IS NOT NULL),
+asserted AS (SELECT hash, field, value, list_sort(list(DISTINCT src)) AS yes FROM claims GROUP BY ALL), saw AS (SELECT hash, list_sort(list(DISTINCT src)) AS every FROM r GROUP BY hash),
+known AS (SELECT hash, field, value, yes, list_filter(every, lambda x: NOT list_contains(yes, x)) AS no FROM asserted JOIN saw USING (hash)),
+pat AS (SELECT field, yes, no, count(*) AS weight, row_number() OVER () AS pid FROM known GROUP BY field, yes, no),
+votes AS (SELECT pid, field, weight, unnest(yes) AS src, 1 AS said FROM pat UNION ALL SELECT pid, field, weight, unnest(no), 0 FROM pat), {_model()},
+judged AS (SELECT hash, known.field, value, probability, max(probability) OVER (PARTITION BY hash, known.field) AS best FROM known JOIN pat ON pat.field = known.field AND pat.yes = known.yes AND pat.no = known.no JOIN p8 USING (pid))
+SELECT hash, field, value, round(probability, 6) AS probability, probability >= 0.5 OR probability = best AS judged_true FROM judged""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

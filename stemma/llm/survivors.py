@@ -15,14 +15,18 @@ the rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stemma.session import cut_lineage
+from stemma.session import cut_lineage, write_cut
 
 #: A text that recurs in at least this share of all (text, group) pairs is a stand-in; so there are at most 1 / share.
 STANDIN_SHARE = 0.002
 STANDIN_GROUPS = 5
+#: Patterns of assertion, at most 2 ** sources a field, up to which they are joined to the facts by broadcast.
+MOST_PATTERNS = 100_000
 
 
 def stripped(c: Column) -> Column:
@@ -90,8 +94,8 @@ def survivors(
     return kept.select(group, "n_rows", pick("_text").alias("text_row"), pick("_count").alias("count_row"), *(pick(f"_{r}").alias(f"{r}_row") for r in refs))
 
 
-def facts(rows: DataFrame, group: str, source: str, fields: tuple[str, ...], texts: tuple[str, ...] = (), counts: tuple[str, ...] = ()) -> DataFrame:
-    """(grp, field, value, asserted ARRAY, silent ARRAY): who asserts each value, and who saw the group without it.
+def claimed(rows: DataFrame, group: str, source: str, fields: tuple[str, ...], texts: tuple[str, ...] = (), counts: tuple[str, ...] = ()) -> DataFrame:
+    """(grp, src, field, value): every value that a row names, and a row with field '' for each source that saw a group.
 
     fields: references, of which 0 is no value; texts: without surrounding white space, empty ones and stand-ins are no
     value; counts: negative ones are no value. value is a BIGINT, or with texts a STRING.
@@ -103,13 +107,43 @@ def facts(rows: DataFrame, group: str, source: str, fields: tuple[str, ...], tex
         found = F.broadcast(stand_ins(every, group, F.col(t)).withColumn(f"_standin_{t}", F.lit(True)))
         rows = rows.withColumns({name: c for name, c in zip(("_k1", "_k2"), _text_key(stripped(F.col(t))))}).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
         value[t] = F.when((F.length(stripped(F.col(t))) > 0) & F.col(f"_standin_{t}").isNull(), stripped(F.col(t)))
-    named = F.coalesce(F.col(source), F.lit("(none)"))
-    claims = rows.select(
-        F.col(group).alias("grp"), named.alias("src"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), v.cast(kind).alias("value")) for f, v in value.items()))).alias("c")
-    )
-    claims = claims.select("grp", "src", "c.field", "c.value").filter("value is not null").distinct()
-    asserted = claims.groupBy("grp", "field", "value").agg(F.sort_array(F.collect_set("src")).alias("asserted"))
-    saw = rows.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("grp")).agg(F.collect_set(named).alias("saw"))
+    each = [F.struct(F.lit(f).alias("field"), v.cast(kind).alias("value")) for f, v in value.items()]
+    seen = F.struct(F.lit("").alias("field"), F.lit(None).cast(kind).alias("value"))
+    out = rows.select(F.col(group).alias("grp"), F.coalesce(F.col(source), F.lit("(none)")).alias("src"), F.explode(F.array(seen, *each)).alias("c")).select("grp", "src", "c.field", "c.value")
+    return out.filter("value is not null or field = ''")
+
+
+def _once_a_task(claims: DataFrame, most: int = 200_000) -> DataFrame:
+    """claims without those that the task has had just before: it remembers so many, so a hot group is combined before the shuffle."""
+    names = claims.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        had: set = set()
+        for batch in batches:
+            kept = []
+            for i, (*row, value) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(names))))):
+                key = *row, xxhash.xxh3_128_digest(value) if isinstance(value, str) and len(value) > 32 else value
+                if key not in had:
+                    had.add(key)
+                    kept.append(i)
+            if len(had) > most:
+                had.clear()
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return claims.mapInArrow(run, claims.schema)
+
+
+def facts(claims: DataFrame) -> DataFrame:
+    """(grp, field, value, asserted ARRAY, silent ARRAY): who asserts each value, and who saw the group without it.
+
+    claims: of ``claimed``. They are shuffled once, by group. Arrays hold sources; the model is meant for a bounded
+    number of them, such as systems or feeds, not one for each web page.
+    """
+    placed = _once_a_task(claims).repartition("grp")
+    asserted = placed.filter("field <> ''").groupBy("grp", "field", "value").agg(F.sort_array(F.collect_set("src")).alias("asserted"))
+    saw = placed.filter("field = ''").groupBy("grp").agg(F.collect_set("src").alias("saw"))
     return asserted.join(saw, "grp").select("grp", "field", "value", "asserted", F.sort_array(F.array_except("saw", "asserted")).alias("silent"))
 
 
@@ -123,43 +157,45 @@ def source_quality(known: DataFrame, rounds: int = 8, prior_true: float = 0.5) -
     patterns = cut_lineage(known.groupBy("field", "asserted", "silent").agg(F.count("*").alias("weight")))
     joined = lambda c: F.array_join(c, "\x1f")  # noqa: E731  # a hash of arrays would not tell where one ends
     patterns = patterns.withColumn("pid", F.xxhash64("field", joined("asserted"), F.lit("|"), joined("silent")))
-    one = lambda c, said: patterns.select("pid", "field", "weight", F.explode(c).alias("src"), F.lit(said).alias("said"))
-    votes = one("asserted", True).unionByName(one("silent", False))
+    both = F.concat(F.transform("asserted", lambda s: F.struct(s.alias("src"), F.lit(True).alias("said"))), F.transform("silent", lambda s: F.struct(s.alias("src"), F.lit(False).alias("said"))))
+    votes = cut_lineage(patterns.select("pid", "field", "weight", F.posexplode(both).alias("at", "v")).select("pid", "field", "weight", "at", "v.src", "v.said"))
     quality = {(r.field, r.src): (0.7, 0.9) for r in votes.select("field", "src").distinct().collect()}
-    prior = {r.field: prior_true for r in patterns.select("field").distinct().collect()}
+    prior = {f: prior_true for f, _ in quality}
     spark = known.sparkSession
 
     def judged() -> DataFrame:
-        rows = [(f, s, math.log(a / (1 - b)), math.log((1 - a) / b)) for (f, s), (a, b) in quality.items()]
-        odds = F.broadcast(spark.createDataFrame(rows, "field string, src string, yes double, no double"))
-        base = F.broadcast(spark.createDataFrame([(f, math.log(p / (1 - p))) for f, p in prior.items()], "field string, base double"))
-        scores = votes.join(odds, ["field", "src"]).groupBy("pid").agg(F.sum(F.when(F.col("said"), F.col("yes")).otherwise(F.col("no"))).alias("score"))
-        return patterns.join(scores, "pid").join(base, "field").withColumn("probability", 1 / (1 + F.exp(-(F.col("score") + F.col("base")))))
-
-    if quality:
-        for _ in range(rounds):
-            now = judged().select("pid", "probability")
-            p, w = F.col("probability"), F.col("weight")
-            said = F.col("said").cast("double")
-            new = votes.join(now, "pid").groupBy("field", "src").agg(F.sum(w * p * said).alias("tp"), F.sum(w * p).alias("t"), F.sum(w * (1 - p) * (1 - said)).alias("tn"), F.sum(w * (1 - p)).alias("f")).collect()
-            share = judged().groupBy("field").agg(F.sum(w * p).alias("t"), F.sum(w).alias("n")).collect()
-            quality = {(r.field, r.src): ((r.tp + 14) / (r.t + 20), (r.tn + 18) / (r.f + 20)) for r in new}
-            prior = {r.field: (r.t + 10) / (r.n + 20) for r in share}
-        probable = judged()
-    else:
-        probable = patterns.withColumn("probability", F.lit(None).cast("double"))
+        """(pid, probability) of each pattern."""
+        rows = [(f, s, math.log(a / (1 - b)), math.log((1 - a) / b), math.log(prior[f] / (1 - prior[f]))) for (f, s), (a, b) in quality.items()]
+        odds = F.broadcast(spark.createDataFrame(rows, "field string, src string, yes double, no double, base double"))  # sources, which the model needs to be few
+        score = F.sum(F.when(F.col("said"), F.col("yes")).otherwise(F.col("no"))) + F.first("base")
+        return votes.join(odds, ["field", "src"]).groupBy("pid").agg((1 / (1 + F.exp(-score))).alias("probability"))
+
+    if not quality:
+        return patterns.select("field", "asserted", "silent", F.lit(None).cast("double").alias("probability")), []
+    for _ in range(rounds):
+        p, w, said = F.col("probability"), F.col("weight"), F.col("said").cast("double")
+        once = lambda c: F.sum(F.when(F.col("at") == 0, c).otherwise(0.0))  # noqa: E731  # of each pattern, whoever comes first
+        sums = votes.join(judged(), "pid").groupBy("field", "src").agg(F.sum(w * p * said).alias("tp"), F.sum(w * p).alias("t"), F.sum(w * (1 - p) * (1 - said)).alias("tn"), F.sum(w * (1 - p)).alias("f"), once(w * p).alias("true"), once(w).alias("all")).collect()
+        quality = {(r.field, r.src): ((r.tp + 14) / (r.t + 20), (r.tn + 18) / (r.f + 20)) for r in sums}
+        prior = {f: (sum(r.true for r in sums if r.field == f) + 10) / (sum(r.all for r in sums if r.field == f) + 20) for f in prior}
+    probable = patterns.join(judged(), "pid")
     return probable.select("field", "asserted", "silent", "probability"), sorted((*k, *v) for k, v in quality.items())
 
 
 def true_values(rows: DataFrame, group: str = "hash", source: str = "sourced_from", fields: tuple[str, ...] = ("task_id", "conference_id"), rounds: int = 8, texts: tuple[str, ...] = (), counts: tuple[str, ...] = ()) -> DataFrame:
     """Every value of every group with its probability: (grp, field, value, probability, judged_true).
 
-    - null is no value, nor are 0 in fields, stand-ins in texts and negative counts (see ``facts``); a null source is a source of its own; rows with a null group are left out.
+    - null is no value, nor are 0 in fields, stand-ins in texts and negative counts (see ``claimed``); a null source is a source of its own; rows with a null group are left out.
     - Repeated rows assert once. A group whose values are all judged false keeps its most probable ones (ties: all).
     - An empty table gives no rows.
     """
-    known = cut_lineage(facts(rows, group, source, fields, texts, counts))
-    probable, _ = source_quality(known, rounds)
-    scored = known.join(probable, ["field", "asserted", "silent"])
-    best = scored.groupBy("grp", "field").agg(F.max("probability").alias("best"))
-    return scored.join(best, ["grp", "field"]).select("grp", "field", "value", F.round("probability", 6).alias("probability"), ((F.col("probability") >= 0.5) | (F.col("probability") == F.col("best"))).alias("judged_true"))
+    known = write_cut(facts(claimed(rows, group, source, fields, texts, counts)))
+    probable = cut_lineage(source_quality(known, rounds)[0])
+    few = probable.limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS
+    scored = known.join(F.broadcast(probable) if few else probable, ["field", "asserted", "silent"])
+    true, false = scored.filter("probability >= 0.5").withColumn("judged_true", F.lit(True)), scored.filter("probability < 0.5")
+    doubtful = false.select("grp", "field").distinct()
+    best = scored.join(doubtful, ["grp", "field"], "left_semi").groupBy("grp", "field").agg(F.max("probability").alias("best"))
+    rest = false.join(best, ["grp", "field"]).withColumn("judged_true", F.col("probability") == F.col("best"))
+    out = ["grp", "field", "value", F.round("probability", 6).alias("probability"), "judged_true"]
+    return true.select(*out).unionByName(rest.select(*out))

@@ -48,7 +48,7 @@ def test_model_finds_bad_source(spark):
             v = truth[f"h{i}"] if rnd.random() < right else 1 + rnd.randrange(50)
             rows.append((len(rows), f"h{i}", None, None, v, None, s, None))
     df = frame(spark, rows)
-    _, quality = sur.source_quality(sur.facts(df, "hash", "sourced_from", ("task_id",)))
+    _, quality = sur.source_quality(sur.facts(sur.claimed(df, "hash", "sourced_from", ("task_id",))))
     by = {s: (a, b) for _, s, a, b in quality}
     assert by["bad"][0] < 0.5 < 0.8 < by["crawl"][0] and by["bad"][1] < by["crawl"][1]
     judged = {(r.grp, r.value) for r in sur.true_values(df, fields=("task_id",)).filter("judged_true").collect()}
