@@ -45,6 +45,7 @@ FUNCTION_WORDS = {
     "es": frozenset("el los las del una y para con en que por como sigue siendo".split()),
 }
 SCRIPTS = (("zh", regex.compile(r"\p{Han}"), 3), ("ru", regex.compile(r"\p{Cyrillic}"), 1), ("xx", regex.compile(r"[\p{Arabic}\p{Thai}\p{Hangul}\p{Devanagari}\p{Greek}\p{Hiragana}\p{Katakana}]"), 1))
+#: Characters at the end of a value that tell the language it ends in, which is what is judged.
 SAMPLE = 400
 
 
