@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stemma.functions import text as T
-from stemma.operators.mining import holding, keyword_array, membership
+from stemma.operators.mining import holding, membership
 from stemma.session import cut_lineage, write_cut
 
 #: Atoms of a node that one task finishes.
@@ -108,7 +108,7 @@ def partition(docs: DataFrame, keywords: DataFrame, limit: int, min_balance: flo
     order of emission. An empty table gives no nodes. Rows that share grp and hash are one document.
     """
     kind = docs.schema["grp"].dataType.simpleString()
-    ranks = {r.keyword: r.rank for r in keywords.groupBy("keyword").agg(F.min("rank").alias("rank")).collect()}  # configuration, see keyword_array
+    ranks = {r.keyword: r.rank for r in keywords.groupBy("keyword").agg(F.min("rank").alias("rank")).collect()}  # configuration, or what mining leaves of a pool
     whole = signed(docs, keywords)
     no_words = F.array().cast("array<string>")
     state = cut_lineage(whole.groupBy("grp", "signature").agg(F.count("*").alias("n")).select("grp", F.lit("").alias("path"), no_words.alias("includes"), no_words.alias("excludes"), "signature", "n"))
